@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from wadi.llm.toxicity import op5_toxicity
 from wadi.llm.winnowing import op4_winnowing
 
 QUERIES = {
     "op4_winnowing": op4_winnowing,
+    "op5_toxicity": op5_toxicity,
 }
 
 SQL: dict[str, str] = {}
