@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from wadi.llm.chat import OP7_SQL, op7_chat
+from wadi.llm.licenses import OP3_SQL, op3_licenses
 from wadi.llm.toxicity import op5_toxicity
 from wadi.llm.winnowing import op4_winnowing
 
 QUERIES = {
+    "op3_licenses": op3_licenses,
     "op4_winnowing": op4_winnowing,
     "op5_toxicity": op5_toxicity,
+    "op7_chat": op7_chat,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_licenses": OP3_SQL,
+    "op7_chat": OP7_SQL,
+}

@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from wadi.llm.textcore import _BASE, _power, mix
 
 K, WINDOW = 16, 32
+#: Parts that texts are dealt to at most (each is streamed, so a larger one needs no more memory).
+MOST_PARTS = 20_000
 
 
 def fingerprint(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -103,21 +106,18 @@ def in_order(docs: DataFrame, per_part: int = 4000) -> DataFrame:
     """
     spark = docs.sparkSession
     n = docs.count()
-    parts = max(1, -(-n // per_part))
+    parts = min(max(1, -(-n // per_part)), MOST_PARTS)
     ids = docs.select("doc_id")
     cuts = ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first()["c"] if parts > 1 else []
     cuts = sorted(set(cuts or []))
-    part = F.lit(0)
-    if cuts:
-        # the number of cuts below the id, by binary search in the sorted array of cuts
-        bounds = F.array(*[F.lit(int(c)) for c in cuts])
-        steps = max(1, int(np.ceil(np.log2(len(cuts) + 1))))
-        at = F.lit(0)
-        for s in range(steps - 1, -1, -1):
-            probe = at + F.lit(1 << s)
-            at = F.when((probe <= len(cuts)) & (F.get(bounds, probe - 1) < F.col("doc_id")), probe).otherwise(at)
-        part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at)
-    rows = docs.select("doc_id", "text").withColumn("part", part.cast("int"))
+    bounds = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "left"))).astype("int32")
+
+    part = part_of(F.col("doc_id")) if cuts else F.lit(0)
+    rows = docs.select("doc_id", "text").withColumn("part", part)
     heads = [(r["part"], r["first"], r["nulls"]) for r in rows.groupBy("part").agg(F.min("doc_id").alias("first"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).orderBy("part").collect()]
     if not heads:
         return rows.withColumn("ahead", F.lit(0))
