@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from wadi.llm.chosen_path import OP2_SQL, op2_near_dedup
 from wadi.llm.chat import OP7_SQL, op7_chat
 from wadi.llm.licenses import OP3_SQL, op3_licenses
 from wadi.llm.toxicity import op5_toxicity
 from wadi.llm.winnowing import op4_winnowing
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_licenses": op3_licenses,
     "op4_winnowing": op4_winnowing,
     "op5_toxicity": op5_toxicity,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_near_dedup": OP2_SQL,
     "op3_licenses": OP3_SQL,
     "op7_chat": OP7_SQL,
 }

@@ -146,10 +146,10 @@ def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
                 np.not_equal(part[1:], part[:-1], out=keep[1:])
                 part = part[keep]
         elif b > a:
-            whole = np.uint64(b - a)
+            whole = np.full(1, b - a, np.uint64)
             for j in range(b - a):
-                whole = whole + h[a + j] * np.uint64(pow(int(_STEP), j, 1 << 64))
-            part = mix(np.array([whole], np.uint64))
+                whole += h[a + j : a + j + 1] * np.uint64(pow(int(_STEP), j, 1 << 64))
+            part = mix(whole)
         else:
             part = np.zeros(0, np.uint64)
         out.append(part)
