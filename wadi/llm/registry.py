@@ -5,6 +5,7 @@ from __future__ import annotations
 from wadi.llm.chosen_path import OP2_SQL, op2_near_dedup
 from wadi.llm.chat import OP7_SQL, op7_chat
 from wadi.llm.licenses import OP3_SQL, op3_licenses
+from wadi.llm.packing import op8_packing
 from wadi.llm.toxicity import op5_toxicity
 from wadi.llm.winnowing import op4_winnowing
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_winnowing": op4_winnowing,
     "op5_toxicity": op5_toxicity,
     "op7_chat": op7_chat,
+    "op8_packing": op8_packing,
 }
 
 SQL: dict[str, str] = {
