@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from wadi.llm.chosen_path import OP2_SQL, op2_near_dedup
 from wadi.llm.chat import OP7_SQL, op7_chat
+from wadi.llm.decontaminate import op1_decontaminate
 from wadi.llm.licenses import OP3_SQL, op3_licenses
 from wadi.llm.packing import op8_packing
 from wadi.llm.toxicity import op5_toxicity
 from wadi.llm.winnowing import op4_winnowing
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_near_dedup": op2_near_dedup,
     "op3_licenses": op3_licenses,
     "op4_winnowing": op4_winnowing,
