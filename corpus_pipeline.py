@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wadi.llm.chosen_path import near_duplicates
 from wadi.llm.decontaminate import leaks
+from wadi.llm.ids import without_ids
 from wadi.llm.packing import pack
 from wadi.llm.storage import fresh_folder
 from wadi.llm.toxicity import drop_toxic
@@ -25,13 +26,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group of near duplicates."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, gone)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    gone = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id")
+    return without_ids(docs, gone)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
