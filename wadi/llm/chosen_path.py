@@ -35,10 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wadi.llm.components import components
+from wadi.llm.ids import bitmap, maybe_in
 from wadi.llm.storage import cut
 from wadi.llm.textcore import Words, chunks, mix, shingles
 
-TREES, COORDS, SMALL, DEPTH, BITMAP_BITS = 3, 64, 128, 8, 1 << 24
+TREES, COORDS, SMALL, DEPTH = 3, 64, 128, 8
 LIKENESS = Fraction(85, 100)
 _MULTIPLIERS = np.random.default_rng(7121).integers(1, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -111,12 +112,11 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1), batch.column(2)], names=["key", "rep", "parent"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], bitmap, k: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], held, k: int) -> Iterator[pa.RecordBatch]:
     """(rep, n, tokens) of the rows whose id may be wanted: sorted 32-bit tokens of the whole set."""
-    bits = np.frombuffer(bitmap.value, np.uint8)
+    bits = np.frombuffer(held.value, np.uint8)
     for batch in batches:
-        at = mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(len(bits) * 8)
-        wanted = batch.filter(pa.array((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1))
+        wanted = batch.filter(pa.array(maybe_in(batch.column(0).to_numpy(zero_copy_only=False), bits)))
         for part in chunks([wanted], "text"):
             values, offs = shingles(Words(part.column(1)), k)
             short = (values >> np.uint64(32)).astype(np.uint32)
@@ -188,20 +188,6 @@ def _compare(batches: Iterator[pa.RecordBatch], likeness: Fraction) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
 
-def _bitmap(ids: DataFrame, bits: int) -> bytes:
-    """A bitmap of hashed ids; the driver gets at most ``bits`` / 32 rows, whatever the input."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(bits)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(5)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(31))).astype(np.int64))], names=["word", "bit"])
-
-    words = ids.mapInArrow(mark, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(bits // 32, "<u4")
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype("<u4")
-    return out.tobytes()
-
-
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows of nodes that hold at least two documents, with the node's size ``n``."""
     sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2"))
@@ -244,9 +230,9 @@ def near_duplicates(docs: DataFrame, likeness: Fraction = LIKENESS, k: int = 5,
     named = sig.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     reps = cut(named.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mh")).alias("m")).select("d1", "d2", F.col("m.doc_id").alias("rep"), "m.mh"))
     work = cut(nodes(reps.select("rep", "mh"), trees, small, depth))
-    bitmap = spark.sparkContext.broadcast(_bitmap(work.select("rep").distinct(), BITMAP_BITS))
+    held = spark.sparkContext.broadcast(bitmap(work.select("rep").distinct()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    sets = texts.mapInArrow(lambda it: _sets(it, bitmap, k), "rep long, n long, tokens binary")
+    sets = texts.mapInArrow(lambda it: _sets(it, held, k), "rep long, n long, tokens binary")
     sent = work.join(sets, "rep").select("key", "part", "side", "rep", "n", "tokens")
     links = sent.repartition("key", "part").sortWithinPartitions("key", "part", "rep").mapInArrow(lambda it: _compare(it, likeness), "a long, b long")
     # rows that repeat an id are one document: all its classes are linked

@@ -15,8 +15,9 @@ segments. A segment of score S in a text of n words is significant if
 lambda * S - ln(K * n) > 0, where the extreme-value (Gumbel) parameters lambda
 and K come from the best segments of the non-toxic training texts. The
 normalised best score and the sum over significant segments go through a
-logistic calibration, fitted on at most ``CALIBRATION_ROWS`` training rows in
-the order of a hash of their id.
+logistic calibration. Model and calibration are fitted on at most
+``LABELLED_ROWS`` labelled rows (the first by a hash of their id), so their list
+can be broadcast to the texts, which are never shuffled.
 
 Defined results: null and empty texts have no segments and the score that the
 calibration gives to no evidence; labels that are null or not 0/1 are left
@@ -39,7 +40,7 @@ from wadi.llm.storage import cut
 from wadi.llm.textcore import NON_ALNUM, Words, chunks, mix
 
 PREFIXES = (4, 5, 6, 7, 8, 9)
-PRIOR, DRIFT, MODEL_TOKENS, CALIBRATION_ROWS = 4.0, 0.5, 1 << 17, 50_000
+PRIOR, DRIFT, MODEL_TOKENS, LABELLED_ROWS = 4.0, 0.5, 1 << 17, 1 << 17
 MIN_TOXIC, MIN_Z = 3, 3.0
 
 
@@ -192,9 +193,11 @@ def fit_gumbel(best: np.ndarray, words: np.ndarray) -> tuple[float, float]:
     return lam, math.exp(location) / max(1.0, float(np.mean(words[on]))) * float(on.mean())
 
 
-def features(best, total, words, lam: float, k: float):
-    """Normalised best score, and log of the significant sum; plain arithmetic, also on Columns."""
-    return lam * best - np.log(k * np.maximum(words, 1) + 1), np.log1p(total)
+def with_evidence(found: DataFrame, lam: float, k: float) -> DataFrame:
+    """Adds ``norm`` (ln of K n + 1), ``one`` (normalised best score) and ``sum`` (log of the significant sum)."""
+    found = found.withColumn("norm", F.log(F.lit(k) * F.greatest("n_words", F.lit(1)) + 1))
+    total = F.expr(f"aggregate(segments, 0D, (t, s) -> t + greatest(0D, {lam!r}D * s.score - norm))")
+    return found.withColumn("one", F.lit(lam) * F.col("best") - F.col("norm")).withColumn("sum", F.log1p(total))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -223,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Fitted | None:
     """Learns from labelled rows outside the held-out fold; None without both classes."""
     spark = docs.sparkSession
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(folds=folds)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(marks, "doc_id")
+    marks = cut(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS))
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(marks), "doc_id")
     counts = cut(token_counts(train))
     sums = counts.where("level = 0").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total")).first()
     toxic, total = sums["toxic"] or 0, sums["total"] or 0
@@ -233,13 +237,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Fitted | None:
     z = (F.col("toxic") - F.col("total") * base) / F.sqrt(F.col("total") * base * (1 - base))
     kept = counts.withColumn("z", z).where((F.col("docs") >= MIN_TOXIC) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "level", "token").limit(MODEL_TOKENS)
     model = Model([(r["level"], r["token"], r["toxic"], r["total"]) for r in kept.collect()], toxic, total)
-    some = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS) if marks.count() > CALIBRATION_ROWS else train
-    bounded = some.select("doc_id", "text", "toxic")
-    got = scan(bounded.select("doc_id", "text"), model).select("doc_id", "n_words", "best", F.expr("transform(segments, s -> s.score)").alias("all")).join(marks, "doc_id").limit(CALIBRATION_ROWS).toPandas()
+    seen = cut(scan(train, model).join(F.broadcast(marks), "doc_id"))
+    got = seen.select("n_words", "best", "toxic").toPandas()
     y, words, best = got["toxic"].to_numpy(float), got["n_words"].to_numpy(float), got["best"].to_numpy(float)
     lam, k = fit_gumbel(best[y == 0], words[y == 0])
-    total_s = np.array([sum(max(0.0, lam * s - math.log(k * max(n, 1) + 1)) for s in row) for row, n in zip(got["all"], words, strict=True)])
-    a, b = features(best, total_s, words, lam, k)
+    got = with_evidence(seen, lam, k).select("one", "sum", "toxic").toPandas()
+    y = got["toxic"].to_numpy(float)
+    a, b = got["one"].to_numpy(float), got["sum"].to_numpy(float)
     return Fitted(model, lam, k, fit_logistic(np.column_stack([a, b]), y))
 
 
@@ -250,14 +254,44 @@ def score(docs: DataFrame, fitted: Fitted | None, folds: int = 5) -> DataFrame:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(None).cast("long").alias("n_words"), F.lit(0).alias("n_segments"), F.lit(None).cast("int").alias("best_start"), F.lit(None).cast("int").alias("best_end"))
     lam, k, w = fitted.lam, fitted.k, [float(x) for x in fitted.weights]
     found = scan(docs, fitted.model)
-    norm = F.log(F.lit(k) * F.greatest("n_words", F.lit(1)) + 1)
-    found = found.withColumn("norm", norm).withColumn("total", F.expr(f"aggregate(segments, 0D, (t, s) -> t + greatest(0D, {lam!r}D * s.score - norm))"))
-    logit = F.lit(w[0]) + F.lit(w[1]) * (F.lit(lam) * F.col("best") - F.col("norm")) + F.lit(w[2]) * F.log1p("total")
+    found = with_evidence(found, lam, k)
+    logit = F.lit(w[0]) + F.lit(w[1]) * F.col("one") + F.lit(w[2]) * F.col("sum")
     found = found.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
     top = F.expr("array_max(transform(segments, s -> struct(s.score, s.start, s.end)))")
     return found.select("doc_id", own.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", F.expr(f"size(filter(segments, s -> {lam!r}D * s.score > norm))").alias("n_segments"), top["start"].alias("best_start"), top["end"].alias("best_end"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+    """``docs`` without the rows that are predicted toxic, all columns kept, texts not shuffled.
+
+    The verdict is made row by row in the scan of the texts: the decision rides
+    along with an id of the row, so documents with one id are judged apart.
+    """
+    fitted = fit(docs, labels, folds)
+    if fitted is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    @F.pandas_udf("boolean")
+    def toxic(texts: pd.Series) -> pd.Series:
+        f = held.value
+        out = []
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+        for part in chunks([batch], "text"):
+            words = Words(part.column(0), NON_ALNUM)
+            s = f.model.score(words) if len(words) else np.zeros(0)
+            of = words.of.tolist()
+            for d in range(part.num_rows):
+                found = [x[2] for x in maximal_segments(s[of[d] : of[d + 1]])]
+                norm = math.log(f.k * max(of[d + 1] - of[d], 1) + 1)
+                one = f.lam * max(found, default=0.0) - norm
+                total = math.log1p(sum(max(0.0, f.lam * x - norm) for x in found))
+                out.append(f.weights[0] + f.weights[1] * one + f.weights[2] * total >= 0)
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(~toxic(F.coalesce("text", F.lit(""))))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
