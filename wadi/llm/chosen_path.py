@@ -188,16 +188,22 @@ def _compare(batches: Iterator[pa.RecordBatch], likeness: Fraction) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold at least two documents, with the node's size ``n``."""
-    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2"))
-    return cut(rows.join(sizes, "key"))
+def _shared(rows: DataFrame, small: int) -> DataFrame:
+    """Rows of nodes that hold at least two documents, with the node's size ``n``.
+
+    Of small nodes with the same members (by a 128-bit digest) one is kept: they
+    are compared exhaustively, once is enough.
+    """
+    digest = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("h2"))
+    sizes = cut(rows.groupBy("key").agg(*digest).where("n >= 2"))
+    once = sizes.where(F.col("n") <= small).groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
+    return cut(rows.join(cut(once.union(sizes.where(F.col("n") > small).select("key", "n"))), "key"))
 
 
 def nodes(reps: DataFrame, trees: int = TREES, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """(key, part, side, rep): what is to be compared; rows of one (key, part) form a node of bounded size."""
     ready = []
-    rows = _shared(reps.select("rep", "mh").mapInArrow(lambda it: _roots(it, trees), "key long, rep long")).withColumn("parent", F.lit(None).cast("long"))
+    rows = _shared(reps.select("rep", "mh").mapInArrow(lambda it: _roots(it, trees), "key long, rep long"), small).withColumn("parent", F.lit(None).cast("long"))
     for level in range(1, depth + 1):
         ready.append(rows.where(F.col("n") <= small).select("key", F.lit(0).alias("part"), F.lit(0).alias("side"), "rep"))
         big = rows.where(F.col("n") > small)
@@ -216,7 +222,7 @@ def nodes(reps: DataFrame, trees: int = TREES, small: int = SMALL, depth: int =
         if level == depth or not thin.limit(1).count():
             break
         next_rows = thin.select("key", "rep", "n").join(reps.select("rep", "mh"), "rep").select("key", "rep", "n", "mh").mapInArrow(_branch, "key long, rep long, parent long")
-        rows = _shared(next_rows)
+        rows = _shared(next_rows, small)
     out = ready[0].select("key", F.col("part").cast("long"), "side", "rep")
     for r in ready[1:]:
         out = out.union(r.select("key", F.col("part").cast("long"), "side", "rep"))

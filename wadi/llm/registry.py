@@ -8,6 +8,7 @@ from wadi.llm.decontaminate import op1_decontaminate
 from wadi.llm.licenses import OP3_SQL, op3_licenses
 from wadi.llm.packing import op8_packing
 from wadi.llm.toxicity import op5_toxicity
+from wadi.llm.warc import OP9_SQL, op9_warc
 from wadi.llm.winnowing import op4_winnowing
 
 QUERIES = {
@@ -18,10 +19,12 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_chat": op7_chat,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
 }
 
 SQL: dict[str, str] = {
     "op2_near_dedup": OP2_SQL,
     "op3_licenses": OP3_SQL,
     "op7_chat": OP7_SQL,
+    "op9_warc": OP9_SQL,
 }
