@@ -7,6 +7,8 @@ from wadi.llm.chat import OP7_SQL, op7_chat
 from wadi.llm.decontaminate import op1_decontaminate
 from wadi.llm.licenses import OP3_SQL, op3_licenses
 from wadi.llm.packing import op8_packing
+from wadi.llm.suffix_tree import op10_suffix_tree
+from wadi.llm.tag_paths import op6_tag_paths
 from wadi.llm.toxicity import op5_toxicity
 from wadi.llm.warc import OP9_SQL, op9_warc
 from wadi.llm.winnowing import op4_winnowing
@@ -17,9 +19,11 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_winnowing": op4_winnowing,
     "op5_toxicity": op5_toxicity,
+    "op6_tag_paths": op6_tag_paths,
     "op7_chat": op7_chat,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 
 SQL: dict[str, str] = {
