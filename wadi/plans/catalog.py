@@ -1,4 +1,11 @@
 """Named queries over the driver tables, each with its SQL."""
 
+from __future__ import annotations
+
+from wadi.plans import activity, corpus, lookup, quality, retrieval, sequences
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _part in (retrieval, corpus, lookup, quality, activity, sequences):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
