@@ -61,6 +61,6 @@ def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 def gap_sessions(events: DataFrame, by: str, ts: str, gap_seconds: int) -> DataFrame:
     """(by, session, start, end, n): a new session after a gap over ``gap_seconds``; batch twin of ``session_window``."""
     w = Window.partitionBy(by).orderBy(ts)
-    late = F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w)) > gap_seconds * 1_000_000
+    late = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp")) > gap_seconds * 1_000_000
     numbered = events.withColumn("session", F.sum(F.when(F.coalesce(late, F.lit(True)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(by, "session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))

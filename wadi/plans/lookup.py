@@ -61,12 +61,12 @@ def synonym_expand(spark, sf):
     return more.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("query_id", "token", "other", "place")
 
 
-_NAMES = ["germny", "untied states", "brazl", "chin", "indonesai", "sauid arabia", "fr", "zzzz", "united"]
+_NAMES = ["smal ring", "red wiget", "blue", "bolt", "gren gear", "re", "zzzz", "widget red"]
 
 
 def fuzzy_name_match(spark, sf):
     q = spark.createDataFrame([(x,) for x in _NAMES], "q string")
-    n = table(spark, sf, "nation").select(F.lower("n_name").alias("name"))
+    n = table(spark, sf, "part").select(F.lower("p_name").alias("name")).distinct()
     return n.join(F.broadcast(q), F.lit(True)).withColumn("score", F.round(T.fuzzy_score(F.col("q"), F.col("name")), 6)).where("score >= 0.7")  # a literal list
 
 
@@ -78,13 +78,13 @@ def labels_anti_semi(spark, sf):
     return a.join(s, "lang", "full").select("lang", F.coalesce("without", F.lit(0)).alias("without"), F.coalesce("with_label", F.lit(0)).alias("with_label"))
 
 
-_ALIASES = ["trade with china", "united states today", "germany", "states united in", "nothing here", "china and japan"]
+_ALIASES = ["a small ring please", "red widget", "ring of small size", "nothing here", "blue bolt and red widget"]
 
 
 def alias_match(spark, sf):
     """Exact name, else the longest name within the query, else all its words (two at least) among the query's."""
     q = spark.createDataFrame([(x,) for x in _ALIASES], "q string")
-    n = table(spark, sf, "nation").select(F.lower("n_name").alias("name"), F.size(F.split("n_name", " ")).alias("words"))
+    n = table(spark, sf, "part").select(F.lower("p_name").alias("name"), F.size(F.split("p_name", " ")).alias("words")).distinct()
     level = (
         F.when(F.col("q") == F.col("name"), 1)
         .when(F.col("q").contains(F.col("name")), 2)
@@ -159,13 +159,13 @@ SQL = {
       b AS (SELECT token, other, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i])) AS token, unnest(list_transform(range(1, len(w)), lambda i: w[i + 1])) AS other FROM t) GROUP BY ALL)
       SELECT query_id, token, other, row_number() OVER (PARTITION BY query_id, token ORDER BY n DESC, other) AS place FROM q JOIN b USING (token)
       WHERE NOT EXISTS (SELECT 1 FROM q z WHERE z.query_id = q.query_id AND z.token = b.other) QUALIFY place <= 3""",
-    "fuzzy_name_match": f"""WITH q(q) AS (VALUES {_Q(_NAMES)}), n AS (SELECT lower(n_name) AS name FROM nation),
+    "fuzzy_name_match": f"""WITH q(q) AS (VALUES {_Q(_NAMES)}), n AS (SELECT DISTINCT lower(p_name) AS name FROM part),
       w AS (SELECT q, name, unnest([-1, 0, 1]) AS d FROM q, n), x AS (SELECT q, name, greatest(length(q) + d, 1) AS k FROM w), y AS (SELECT q, name, k, unnest(range(1, greatest(length(name) - k + 1, 1) + 1)) AS i FROM x),
       z AS (SELECT q, name, max(1 - levenshtein(q, substring(name, i, k)) / greatest(length(q), length(substring(name, i, k)))) AS best FROM y GROUP BY q, name)
       SELECT q, name, round(CASE WHEN starts_with(name, q) THEN 1.0 WHEN contains(name, q) THEN 0.95 WHEN length(q) < 3 THEN 0.0 ELSE best * 0.95 END, 6) AS score FROM z WHERE score >= 0.7""",
     "labels_anti_semi": """SELECT lang, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS without, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS with_label FROM documents GROUP BY lang""",
-    "alias_match": f"""WITH q(q) AS (VALUES {_Q(_ALIASES)}), m AS (SELECT q, lower(n_name) AS name, len(string_split(n_name, ' ')) AS words,
-        CASE WHEN q = lower(n_name) THEN 1 WHEN contains(q, lower(n_name)) THEN 2 WHEN len(string_split(n_name, ' ')) >= 2 AND list_has_all(string_split(q, ' '), string_split(lower(n_name), ' ')) THEN 3 END AS level FROM q, nation)
+    "alias_match": f"""WITH q(q) AS (VALUES {_Q(_ALIASES)}), n AS (SELECT DISTINCT lower(p_name) AS n_name FROM part), m AS (SELECT q, n_name AS name, len(string_split(n_name, ' ')) AS words,
+        CASE WHEN q = n_name THEN 1 WHEN contains(q, n_name) THEN 2 WHEN len(string_split(n_name, ' ')) >= 2 AND list_has_all(string_split(q, ' '), string_split(n_name, ' ')) THEN 3 END AS level FROM q, n)
       SELECT q, name, CAST(level AS BIGINT) AS level FROM m WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q ORDER BY level, words DESC, length(name) DESC, name) = 1""",
     "gloss_subset": f"""WITH g(priority, needles, gloss) AS (VALUES (1, ['licensed', 'work'], 'gpl'), (2, ['licensed'], 'licence'), (3, ['the', 'and'], 'english')), d AS (SELECT doc_id, {_TOK} AS w FROM documents)
       SELECT doc_id, min_by(gloss, priority) AS gloss FROM d JOIN g ON list_has_all(w, needles) GROUP BY doc_id""",
