@@ -2,13 +2,14 @@
 
 A document is the set of its 5-word shingles (``textcore.shingles``). Documents
 with equal sets form one class; one of each class goes on. ``TREES`` independent
-trees branch them: a node picks two of the ``COORDS`` minwise tokens by a hash
+trees branch them: a node picks some of the ``COORDS`` minwise tokens by a hash
 of its path, and a document goes to the child of the value that it has there.
 A node of at most ``SMALL`` documents is compared exhaustively on full sets; a
-larger one branches further. Two documents of likeness s descend together into
-two children with probability s each, so at s = 0.85 one tree misses them with
-probability 0.031 at any depth (the fixed point of q = (1 - s + s q)^2), three
-trees with 3e-5; unlike documents part after few levels.
+larger one branches further. The first ``WIDE`` levels pick two tokens, so that
+documents of likeness s = 0.85 are together in 1.7 times as many nodes after each
+(a tree loses them with probability 0.03 at most, three trees with 3e-5); deeper
+ones pick 1 / s on average, which keeps like documents together in as many nodes
+while unlike ones part, and work does not grow with the depth.
 
 A node that did not shrink (more than 0.8 of its parent) or is ``DEPTH`` deep
 holds documents that are alike among themselves; it is cut into blocks of about
@@ -39,7 +40,7 @@ from wadi.llm.ids import bitmap, maybe_in
 from wadi.llm.storage import cut
 from wadi.llm.textcore import Words, chunks, mix, shingles
 
-TREES, COORDS, SMALL, DEPTH = 3, 64, 128, 8
+TREES, COORDS, SMALL, DEPTH, WIDE = 3, 64, 128, 8, 3
 LIKENESS = Fraction(85, 100)
 _MULTIPLIERS = np.random.default_rng(7121).integers(1, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -81,10 +82,13 @@ def _picks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a.astype(np.int64), b.astype(np.int64)
 
 
-def _children(keys: np.ndarray, mh: np.ndarray) -> Iterator[np.ndarray]:
+def _children(keys: np.ndarray, mh: np.ndarray, second: float = 1.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, child keys) by pick; nodes make the second pick with the given chance, by their key."""
     rows = np.arange(len(keys))
-    for pick in _picks(keys):
-        yield mix(keys ^ mix(mh[rows, pick].astype(np.uint64) + (pick.astype(np.uint64) << np.uint64(32))))
+    for i, pick in enumerate(_picks(keys)):
+        on = rows if i == 0 or second >= 1 else rows[(mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(11)) < np.uint64(int(second * (1 << 53)))]
+        p = pick[on]
+        yield on, mix(keys[on] ^ mix(mh[on, p].astype(np.uint64) + (p.astype(np.uint64) << np.uint64(32))))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -99,17 +103,17 @@ def _roots(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordB
         mh = _matrix(batch.column(1))
         for tree in range(trees):
             root = mix(np.full(batch.num_rows, tree + 1, np.uint64))
-            for key in _children(root, mh):
+            for _, key in _children(root, mh):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], names=["key", "rep"])
 
 
-def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _branch(batches: Iterator[pa.RecordBatch], second: float) -> Iterator[pa.RecordBatch]:
     """(key, rep, parent) of the children of (key, rep, n, mh)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        for key in _children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(3))):
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1), batch.column(2)], names=["key", "rep", "parent"])
+        for on, key in _children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(3)), second):
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1).take(pa.array(on)), batch.column(2).take(pa.array(on))], names=["key", "rep", "parent"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], held, k: int) -> Iterator[pa.RecordBatch]:
@@ -200,7 +204,7 @@ def _shared(rows: DataFrame, small: int) -> DataFrame:
     return cut(rows.join(cut(once.union(sizes.where(F.col("n") > small).select("key", "n"))), "key"))
 
 
-def nodes(reps: DataFrame, trees: int = TREES, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def nodes(reps: DataFrame, trees: int = TREES, small: int = SMALL, depth: int = DEPTH, likeness: Fraction = LIKENESS) -> DataFrame:
     """(key, part, side, rep): what is to be compared; rows of one (key, part) form a node of bounded size."""
     ready = []
     rows = _shared(reps.select("rep", "mh").mapInArrow(lambda it: _roots(it, trees), "key long, rep long"), small).withColumn("parent", F.lit(None).cast("long"))
@@ -221,7 +225,7 @@ def nodes(reps: DataFrame, trees: int = TREES, small: int = SMALL, depth: int =
         thin = big.where(~stuck)
         if level == depth or not thin.limit(1).count():
             break
-        next_rows = thin.select("key", "rep", "n").join(reps.select("rep", "mh"), "rep").select("key", "rep", "n", "mh").mapInArrow(_branch, "key long, rep long, parent long")
+        next_rows = thin.select("key", "rep", "n").join(reps.select("rep", "mh"), "rep").select("key", "rep", "n", "mh").mapInArrow(lambda it, s=1.0 if level < WIDE else float(1 / likeness) - 1: _branch(it, s), "key long, rep long, parent long")
         rows = _shared(next_rows, small)
     out = ready[0].select("key", F.col("part").cast("long"), "side", "rep")
     for r in ready[1:]:
@@ -235,7 +239,7 @@ def near_duplicates(docs: DataFrame, likeness: Fraction = LIKENESS, k: int = 5,
     sig = cut(signatures(docs, k))
     named = sig.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     reps = cut(named.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mh")).alias("m")).select("d1", "d2", F.col("m.doc_id").alias("rep"), "m.mh"))
-    work = cut(nodes(reps.select("rep", "mh"), trees, small, depth))
+    work = cut(nodes(reps.select("rep", "mh"), trees, small, depth, likeness))
     held = spark.sparkContext.broadcast(bitmap(work.select("rep").distinct()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     sets = texts.mapInArrow(lambda it: _sets(it, held, k), "rep long, n long, tokens binary")
