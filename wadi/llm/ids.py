@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wadi.llm.storage import fetch
 from wadi.llm.textcore import mix
 
 BITMAP_BITS = 1 << 24
@@ -27,7 +28,7 @@ def bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> bytes:
             at = places(batch.column(0).to_numpy(zero_copy_only=False), bits)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(5)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(31))).astype(np.int64))], names=["word", "bit"])
 
-    words = ids.mapInArrow(mark, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = fetch(ids.mapInArrow(mark, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")))
     out = np.zeros(bits // 32, "<u4")
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype("<u4")
     return out.tobytes()

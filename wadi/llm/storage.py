@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,3 +33,8 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh_folder(spark: SparkSession, kind: str) -> str:
     """A new folder name below the shared folder, for files of one run."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def fetch(df: DataFrame) -> pd.DataFrame:
+    """A frame of proven size bound on the driver, as Arrow columns and not as row objects."""
+    return df.toArrow().to_pandas()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wadi.llm.storage import cut
+from wadi.llm.storage import cut, fetch
 from wadi.llm.textcore import NON_ALNUM, Words, chunks, mix
 
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -238,10 +238,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Fitted | None:
     kept = counts.withColumn("z", z).where((F.col("docs") >= MIN_TOXIC) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "level", "token").limit(MODEL_TOKENS)
     model = Model([(r["level"], r["token"], r["toxic"], r["total"]) for r in kept.collect()], toxic, total)
     seen = cut(scan(train, model).join(F.broadcast(marks), "doc_id"))
-    got = seen.select("n_words", "best", "toxic").toPandas()
+    got = fetch(seen.select("n_words", "best", "toxic"))
     y, words, best = got["toxic"].to_numpy(float), got["n_words"].to_numpy(float), got["best"].to_numpy(float)
     lam, k = fit_gumbel(best[y == 0], words[y == 0])
-    got = with_evidence(seen, lam, k).select("one", "sum", "toxic").toPandas()
+    got = fetch(with_evidence(seen, lam, k).select("one", "sum", "toxic"))
     y = got["toxic"].to_numpy(float)
     a, b = got["one"].to_numpy(float), got["sum"].to_numpy(float)
     return Fitted(model, lam, k, fit_logistic(np.column_stack([a, b]), y))
