@@ -39,6 +39,8 @@ from wadi.llm.textcore import Words, chunks
 
 WINDOW, TIERS, END_ID = 4096, (512, 1024, 2048, 4096), 2
 STEP_TOKENS, WAITING, CACHE = 8 * WINDOW, 256, 700_000
+#: Entries of the Python dictionaries beside the cache's arrays.
+RECENT = 60_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -67,7 +69,8 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}  # hash of a piece: its slot
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of pieces, sorted, and their slots
+        self.recent: dict[int, int] = {}  # those not yet among them
         self.plain: dict[str, int] = {}  # words and ends that pieces are made of
         self.flat = np.full(1 << 16, self.end_id, np.uint32)
         self.used, self.count = 1, 1
@@ -90,6 +93,8 @@ class Tokens:
 
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
         """Gives every piece a slot; plain words with a plain end are put together from word and end."""
+        if len(self.plain) > RECENT:
+            self.plain = {}
         plain, parts, fresh = self.plain, [], {}
         for p in pieces:
             core = p.rstrip(".,;:!?%&*#$")
@@ -103,7 +108,7 @@ class Tokens:
         for x, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             plain[x] = self._put(e.ids)
         for h, (a, b) in zip(hashes, parts, strict=True):
-            self.slots[h] = self._put(np.concatenate([self._ids(plain[a]), self._ids(plain[b])])) if b else plain[a]
+            self.recent[h] = self._put(np.concatenate([self._ids(plain[a]), self._ids(plain[b])])) if b else plain[a]
 
     def _learn_words(self, words: list[str], together: int = 256) -> None:
         """Plain words, many in one call: the last token of each, and no other, closes a word."""
@@ -122,14 +127,24 @@ class Tokens:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and text offsets."""
-        if len(self.slots) > self.cache:
+        if len(self.keys) > self.cache:
             self.clear()
+        if len(self.recent) > RECENT:
+            keys = np.concatenate([self.keys, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))])
+            values = np.concatenate([self.values, np.fromiter(self.recent.values(), np.int64, len(self.recent))])
+            order = np.argsort(keys)
+            self.keys, self.values, self.recent = keys[order], values[order], {}
         words = Words(texts)
         codes, kinds = pd.factorize(words.hashes)
-        known = self.slots.get
-        slot = [known(h, -1) for h in kinds.tolist()]
-        slot = np.array(slot, np.int64)
+        slot = np.full(len(kinds), -1, np.int64)
+        if len(self.keys):
+            i = np.minimum(np.searchsorted(self.keys, kinds), len(self.keys) - 1)
+            hit = self.keys[i] == kinds
+            slot[hit] = self.values[i[hit]]
+        known = self.recent.get
         new = np.flatnonzero(slot < 0)
+        slot[new] = [known(h, -1) for h in kinds[new].tolist()]
+        new = new[slot[new] < 0]
         if len(new):
             first = np.zeros(len(kinds), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)

@@ -264,32 +264,31 @@ def score(docs: DataFrame, fitted: Fitted | None, folds: int = 5) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """``docs`` without the rows that are predicted toxic, all columns kept, texts not shuffled.
 
-    The verdict is made row by row in the scan of the texts: the decision rides
-    along with an id of the row, so documents with one id are judged apart.
+    Rows are judged one by one in the scan of the texts, so documents with one
+    id are judged apart.
     """
     fitted = fit(docs, labels, folds)
     if fitted is None:
         return docs
     held = docs.sparkSession.sparkContext.broadcast(fitted)
 
-    @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = held.value
-        out = []
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        for part in chunks([batch], "text"):
-            words = Words(part.column(0), NON_ALNUM)
+        for part in chunks(batches, "text"):
+            words = Words(part.column(at), NON_ALNUM)
             s = f.model.score(words) if len(words) else np.zeros(0)
-            of = words.of.tolist()
+            of, keep = words.of.tolist(), []
             for d in range(part.num_rows):
                 found = [x[2] for x in maximal_segments(s[of[d] : of[d + 1]])]
                 norm = math.log(f.k * max(of[d + 1] - of[d], 1) + 1)
                 one = f.lam * max(found, default=0.0) - norm
                 total = math.log1p(sum(max(0.0, f.lam * x - norm) for x in found))
-                out.append(f.weights[0] + f.weights[1] * one + f.weights[2] * total >= 0)
-        return pd.Series(out, dtype=bool)
+                keep.append(bool(f.weights[0] + f.weights[1] * one + f.weights[2] * total < 0))
+            yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.where(~toxic(F.coalesce("text", F.lit(""))))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
