@@ -41,7 +41,7 @@ from wadi.llm.textcore import NON_ALNUM, Words, chunks, mix
 
 PREFIXES = (4, 5, 6, 7, 8, 9)
 PRIOR, DRIFT, MODEL_TOKENS, LABELLED_ROWS = 4.0, 0.5, 1 << 17, 1 << 17
-MIN_TOXIC, MIN_Z = 3, 3.0
+MIN_TOXIC, MIN_Z, MOST_RATE = 3, 3.0, 0.999
 
 
 def held_out(id_col="doc_id", folds: int = 5):
@@ -109,7 +109,8 @@ class Model:
             i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[i] == h
             at, i = at[hit], i[hit]
-            rate[at] = (toxic[i] + self.prior * rate[at]) / (total[i] + self.prior)
+            # bounded, or a frequent token that only toxic texts have would come to infinite odds
+            rate[at] = np.minimum((toxic[i] + self.prior * rate[at]) / (total[i] + self.prior), MOST_RATE)
         odds = np.log(rate / (1 - rate)) - math.log(self.base / (1 - self.base)) - self.drift
         return odds[codes]
 
