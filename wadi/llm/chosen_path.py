@@ -11,11 +11,11 @@ documents of likeness s = 0.85 are together in 1.7 times as many nodes after eac
 ones pick 1 / s on average, which keeps like documents together in as many nodes
 while unlike ones part, and work does not grow with the depth.
 
-A node that did not shrink (more than 0.8 of its parent) or is ``DEPTH`` deep
-holds documents that are alike among themselves; it is cut into blocks of about
+A node below the ``WIDE`` levels that did not shrink (more than 0.8 of its parent)
+or is ``DEPTH`` deep holds documents that are alike among themselves; it is cut into blocks of about
 ``SMALL`` and every two blocks are compared, exactly as whole. From a compared
-node only a spanning forest of its true links goes out, at most one row for
-each member: enough for the components, and none of a group's pairs.
+node only a spanning forest of its true links goes out, without those that the
+task has already joined: enough for the components, and none of a group's pairs.
 
 Full sets travel only for documents that share a node: a bitmap of fixed size
 tells the second pass over the texts which ones.
@@ -167,6 +167,26 @@ def forest(reps: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], likene
 def _compare(batches: Iterator[pa.RecordBatch], likeness: Fraction) -> Iterator[pa.RecordBatch]:
     """Links of nodes from rows (key, part, side, rep, n, tokens) sorted by node; one node in memory at a time."""
 
+    joined: dict[int, int] = {}  # documents that this task has linked so far; forgotten when it grows large
+
+    def find(x: int) -> int:
+        while (up := joined.get(x, x)) != x:
+            joined[x] = joined.get(up, up)
+            x = up
+        return x
+
+    def fresh(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Links between documents that no earlier link of the task joins."""
+        if len(joined) > 1_000_000:
+            joined.clear()
+        out = []
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            if x != y:
+                joined[max(x, y)] = min(x, y)
+                out.append((a, b))
+        return out
+
     def links(group: list) -> list[tuple[int, int]]:
         seen = {}
         for row in group:
@@ -181,13 +201,13 @@ def _compare(batches: Iterator[pa.RecordBatch], likeness: Fraction) -> Iterator[
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[:2] != at:
-                out += links(group)
+                out += fresh(links(group))
                 group, at = [], row[:2]
                 if len(out) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
                     out = []
             group.append(row)
-    out += links(group)
+    out += fresh(links(group))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
@@ -213,7 +233,8 @@ def nodes(reps: DataFrame, trees: int = TREES, small: int = SMALL, depth: int =
         big = rows.where(F.col("n") > small)
         if not big.limit(1).count():
             break
-        stuck = (F.col("n") > 0.8 * F.coalesce("parent", F.lit(1 << 60))) if level < depth else F.lit(True)
+        # early on a child may be large because its token is common, not because its documents are alike
+        stuck = F.lit(True) if level >= depth else F.lit(False) if level <= WIDE else F.col("n") > 0.8 * F.col("parent")
         dense = big.where(stuck)
         if dense.limit(1).count():
             count = F.ceil(F.col("n") / (small // 2)).cast("long")
