@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -134,3 +135,37 @@ def test_symbols_spell_the_words():
     lead = "\n" * S.DEPTH
     assert [bytes(sym[a:b]).decode() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [f"{lead}a b c\n", f"{lead}\n", f"{lead}xyz\n"]
     assert len(S.grams(sym, offs)) == 6 + 1 + 4
+
+
+def test_no_context_is_dropped_and_runs_beyond_the_cache_score_alike(docs):
+    rng = random.Random(5)
+    rows = [None, ""] + [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 30))) for _ in range(150)]
+    table = docs(rows)
+    import pyarrow as pa
+
+    from wadi.llm.textcore import Words
+
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(rows))]
+    sym, offs = S.symbols(Words(pa.array(rows)))
+    of = np.repeat(np.arange(len(rows)), np.diff(offs) - S.DEPTH)
+    keys = S.grams(sym, offs)
+    seen: dict[tuple[int, int], dict[int, int]] = {}
+    for k in keys[~np.array(held)[of]].tolist():
+        for level in range(S.DEPTH + 1):
+            c = seen.setdefault((level, (k >> 8) & ((1 << 8 * level) - 1)), {})
+            c[k & 255] = c.get(k & 255, 0) + 1
+    want = []
+    for (level, c), n in seen.items():
+        total = sum(n.values())
+        if level:
+            up = seen[level - 1, c & ((1 << 8 * (level - 1)) - 1)]
+            gain = sum(m * math.log(m / total * sum(up.values()) / up[x]) for x, m in n.items())
+        if not level or gain >= S.GAIN:
+            want += [(level, c, x, m) for x, m in n.items()]
+    tree = S.Tree(pd.DataFrame(want, columns=["level", "context", "next", "n"]))
+    logs = tree.score(keys)
+    exact = np.bincount(of, weights=logs)
+    for cached in (S.RUNS, 50, 0):
+        got = {r["doc_id"]: r["score"] for r in S.score(table, cached=cached).collect()}
+        assert max(abs(got[i] - exact[i]) for i in range(len(rows))) < 1e-6
+    assert S.score(docs([])).count() == 0

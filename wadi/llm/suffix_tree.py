@@ -4,14 +4,19 @@ Symbols are the UTF-8 bytes of the lower-cased (A-Z) words of a text, separated
 by one space and closed by a line feed, the end token; the model's states are
 contexts of up to ``DEPTH`` symbols (a text begins after a line feed). A context
 is kept if its next-symbol counts diverge from those of its suffix, by at least
-``GAIN`` nats in N * KL(context || suffix); of those at most ``STATES``, by gain
-(the size bound of the broadcast). A kept context mixes its counts with the
+``GAIN`` nats in N * KL(context || suffix). A kept context mixes its counts with the
 distribution of its longest kept suffix (Dirichlet smoothing of mass ``MASS``), the
 root with the uniform one; scoring uses the longest kept suffix at each symbol.
 The score is the log10 probability of all symbols, so of the words and the end.
 
+The tree has no size bound: it is a table dealt by the two nearest symbols of its
+contexts (the at most 257 contexts of less are broadcast), and the distinct runs of
+DEPTH + 1 symbols of all texts meet their part of it there. Of the runs with their
+log probabilities the ``RUNS`` most frequent are broadcast, as a cache; the others
+are looked up by a join on (document, run) rows, so every run has its exact value.
+
 Counting: each task counts the distinct runs of DEPTH + 1 symbols of its texts
-(a hash table, no objects), Spark sums them. Word counts for the base score go
+(a hash table, no objects), Spark sums them; runs of held-out texts count 0. Word counts for the base score go
 the same way; words of the ``HEAD`` most frequent are looked up in a broadcast of
 fixed size, the others by a join on (document, word) rows.
 
@@ -27,13 +32,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wadi.llm.storage import cut, fetch
+from wadi.llm.storage import fetch, fresh_folder
 from wadi.llm.textcore import Words, chunks
 
-DEPTH, GAIN, STATES, MASS, HEAD = 5, 2.0, 1 << 17, 12.0, 1 << 18
+DEPTH, GAIN, RUNS, MASS, HEAD = 6, 2.0, 1 << 20, 12.0, 1 << 18
 END, SEP = 0x0A, 0x20
 CHUNK = 2 << 20
 #: Stands for the end token among word hashes.
@@ -78,7 +83,7 @@ def grams(sym: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): counts of symbol runs (kind 0) and of words (kind 1), combined over the task as far as memory is bounded."""
+    """(kind, key, n) of (text, held_out): counts of symbol runs (kind 0) and of words (kind 1), combined over the task as far as memory is bounded."""
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
         for kind in (0, 1):
@@ -94,10 +99,11 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text", CHUNK):
         words = Words(part.column(0))
         sym, offs = symbols(words)
-        h = np.concatenate([words.hashes, np.full(part.num_rows, END_WORD, np.uint64)])
-        for kind, values in ((0, grams(sym, offs)), (1, h)):
+        train = ~part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        h = np.concatenate([words.hashes[train[words.doc]], np.full(int(train.sum()), END_WORD, np.uint64)])
+        for kind, values, weights in ((0, grams(sym, offs), np.repeat(train, np.diff(offs) - DEPTH)), (1, h, None)):
             codes, kinds = pd.factorize(values)
-            parts.append((kind, kinds, np.bincount(codes, minlength=len(kinds))))
+            parts.append((kind, kinds, np.bincount(codes, weights=weights, minlength=len(kinds))))
             held += len(kinds)
         if held > 3_000_000:
             yield from flush(parts)
@@ -106,9 +112,17 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(parts)
 
 
-def counts(train: DataFrame) -> DataFrame:
-    """(kind, key, n) over all training texts."""
-    return train.select("text").mapInArrow(_train, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the shared folder as compressed columns."""
+    spark = df.sparkSession
+    path = fresh_folder(spark, "suffix_tree")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """(kind, key, n) over all training texts of (text, held_out), and the runs of the others."""
+    return docs.select("text", "held_out").mapInArrow(_train, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def context_counts(runs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -119,16 +133,17 @@ def context_counts(runs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return got.groupBy("level", "context", "next").agg(F.sum("n").alias("n"))
 
 
-def kept_contexts(ctx: DataFrame, gain: float = GAIN, states: int = STATES) -> DataFrame:
-    """(level, context, gain) of the contexts that diverge from their suffix, at most ``states`` by gain."""
+def tree_rows(ctx: DataFrame, gain: float = GAIN) -> DataFrame:
+    """The rows of ``ctx`` of the root and of every context that diverges from its suffix."""
     totals = ctx.groupBy("level", "context").agg(F.sum("n").alias("total"))
-    own = cut(ctx.join(totals, ["level", "context"]))
+    own = stored(ctx.join(totals, ["level", "context"]))
     up = own.select((F.col("level") + 1).alias("level"), F.col("context").alias("suffix"), "next", (F.col("n") / F.col("total")).alias("q"))
     cut_suffix = F.expr("context & (shiftleft(1L, (level - 1) * 8) - 1)")
     child = own.where("level > 0").withColumn("suffix", F.when(F.col("level") == 1, F.lit(0).cast("long")).otherwise(cut_suffix))
     both = child.join(up, ["level", "suffix", "next"])
     kl = both.groupBy("level", "context").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"))
-    return kl.where(F.col("gain") >= gain).orderBy(F.desc("gain"), "level", "context").limit(states), own
+    rows = own.select("level", "context", "next", "n")
+    return rows.where("level = 0").unionByName(rows.where("level > 0").join(kl.where(F.col("gain") >= gain).select("level", "context"), ["level", "context"]))
 
 
 class Tree:
@@ -172,6 +187,47 @@ class Tree:
         return self._log10(keys, self.depth)
 
 
+def _logs(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """(key, n, logp) of runs, from rows (level, context, next, n) of tree and, behind them, of runs (level null)."""
+    tree, parts = None, [held.value]
+    for batch in batches:
+        run = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        if not run.all():
+            parts.append(batch.filter(pa.array(~run)).to_pandas())
+        if run.any():
+            tree = tree or Tree(pd.concat(parts))
+            rows = batch.filter(pa.array(run))
+            keys = rows.column(1).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(3), pa.array(tree.score(keys))], names=["key", "n", "logp"])
+
+
+def run_logs(runs: DataFrame, tree: DataFrame) -> DataFrame:
+    """(key, n, logp) of all ``runs`` (key, n), dealt with the tree by the two nearest symbols of the context."""
+    held = runs.sparkSession.sparkContext.broadcast(fetch(tree.where("level < 2")))
+    near = lambda c: c.bitwiseAND(F.lit(0xFFFF).cast("long")).alias("near")
+    deep = tree.where("level >= 2").select(near(F.col("context")), "level", "context", "next", "n")
+    asked = runs.select(near(F.shiftright("key", 8)), F.lit(None).cast("int").alias("level"), F.col("key").alias("context"), F.lit(0).alias("next"), "n")
+    dealt = deep.unionByName(asked).repartition("near").sortWithinPartitions(F.col("level").isNull())
+    return dealt.select("level", "context", "next", "n").mapInArrow(lambda it: _logs(it, held), "key long, n long, logp double")
+
+
+def frequency(n: Column) -> Column:
+    """Classes of counts, at most some 1,000, in the order of the counts."""
+    return F.floor(F.log2(n + F.lit(1)) * 16).cast("int")
+
+
+def least_class(logs: DataFrame, most: int) -> int:
+    """The class of frequency from which on there are at most ``most`` runs."""
+    sizes = logs.groupBy(frequency(F.col("n")).alias("f")).agg(F.count("*").alias("runs")).collect()
+    least, total = 1 << 20, 0
+    for row in sorted(sizes, reverse=True):
+        total += row["runs"]
+        if total > most:
+            break
+        least = row["f"]
+    return least
+
+
 class Head:
     """The most frequent words: sorted hashes and counts."""
 
@@ -189,13 +245,19 @@ class Head:
 
 
 def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, n_tokens, head_known, head_sum, score, rare hashes, rare times) for (row, doc_id, text)."""
-    tree, head = held.value
+    """Rows ``SCORED`` of (row, doc_id, text): what the caches know, the words and the runs (with times) that they do not."""
+    run_keys, run_logp, head = held.value
     for part in chunks(batches, "text", CHUNK):
         words = Words(part.column(2))
         sym, offs = symbols(words)
         codes, kinds = pd.factorize(grams(sym, offs))
-        logs = tree.score(kinds)[codes]
+        at = np.minimum(np.searchsorted(run_keys, kinds), max(len(run_keys) - 1, 0))
+        cached = run_keys[at] == kinds if len(run_keys) else np.zeros(len(kinds), bool)
+        logs = (np.where(cached, run_logp[at], 0.0) if len(run_keys) else np.zeros(len(kinds)))[codes]
+        far = np.flatnonzero(~cached[codes])
+        pairs, times = np.unique(np.repeat(np.arange(part.num_rows), np.diff(offs) - DEPTH)[far] * len(kinds) + codes[far], return_counts=True)
+        far_cuts = np.searchsorted(pairs, np.arange(part.num_rows + 1) * len(kinds)).astype(np.int32)
+        far_keys = kinds[pairs % len(kinds)].view(np.int64)
         bounds = (offs - np.arange(len(offs)) * DEPTH)[:-1]
         score = np.add.reduceat(logs, bounds)
         doc = words.doc
@@ -217,37 +279,42 @@ def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
                 pa.array(sums + math.log10(int(end_n[0]) + 0.1)),
                 pa.array(score),
                 pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(rh.view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(far_cuts), pa.array(far_keys)),
+                pa.ListArray.from_arrays(pa.array(far_cuts), pa.array(times.astype(np.int32))),
             ],
-            names=["row", "doc_id", "n_tokens", "known", "base", "score", "rare"],
+            names=["row", "doc_id", "n_tokens", "known", "base", "score", "rare", "runs", "times"],
         )
 
 
-SCORED = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<bigint>"
+SCORED = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<bigint>, runs array<bigint>, times array<int>"
 
 
-def score(docs: DataFrame, folds: int = 10) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, cached: int = RUNS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
-    both = cut(counts(base.where(~held_out)))
+    both = stored(counts(base.select("text", held_out.alias("held_out"))))
     sums = both.where("kind = 1").agg(F.sum("n").alias("N"), F.count("*").alias("V")).first()
     n, v = sums["N"] or 0, sums["V"]
-    ctx = context_counts(both.where("kind = 0"))
-    best, own = kept_contexts(ctx)
-    chosen = best.select("level", "context").union(own.where("level = 0").select("level", "context").distinct())
-    rows = fetch(own.join(F.broadcast(chosen), ["level", "context"]).select("level", "context", "next", "n"))
+    runs = both.where("kind = 0").select("key", "n")
+    tree = stored(tree_rows(context_counts(runs.where("n > 0"))))
+    logs = stored(run_logs(runs, tree))
+    least_run = least_class(logs, cached)
+    top = fetch(logs.where(frequency(F.col("n")) >= least_run).select("key", "logp")).sort_values("key")
     words = both.where("kind = 1").select("key", "n")
     head = fetch(words.orderBy(F.desc("n"), "key").limit(HEAD))
     end = fetch(words.where(F.col("key") == int(END_WORD.astype(np.int64))))
     head = pd.concat([head, end]).drop_duplicates("key")
-    held = spark.sparkContext.broadcast((Tree(rows), Head(head["key"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64))))
-    found = cut(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(lambda it: _score(it, held), SCORED))
+    held = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64).view(np.uint64), top["logp"].to_numpy(float), Head(head["key"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64))))
+    found = stored(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(lambda it: _score(it, held), SCORED))
     least = int(head["n"].min()) if len(head) else 0
     rare = found.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("t"))
     tail = words.where(F.col("n") <= least).withColumnRenamed("n", "c")
     extra = rare.join(tail, "key", "left").groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("t")).otherwise(0)).alias("more"), F.sum(F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("rest"))
-    joined = found.drop("rare").join(extra, "row", "left")
+    asked = found.select("row", F.explode(F.arrays_zip("runs", "times")).alias("r")).select("row", F.col("r.runs").alias("key"), F.col("r.times").alias("t"))
+    far = asked.join(logs.where(frequency(F.col("n")) < least_run).select("key", "logp"), "key").groupBy("row").agg(F.sum(F.col("t") * F.col("logp")).alias("far"))
+    joined = found.drop("rare", "runs", "times").join(extra, "row", "left").join(far, "row", "left")
     norm = math.log10(n + 0.1 * (v + 1))
     return joined.select(
         "doc_id",
@@ -256,7 +323,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("far", F.lit(0.0))).alias("score"),
     )
 
 
