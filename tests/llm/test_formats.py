@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -143,3 +144,12 @@ def test_pipeline_stages(spark, tmp_path):
     pieces = docs.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t"))
     assert pieces.where("n <> t").count() == 0 and pieces.count() == last.count()
     assert pd.Series(rows).notna().all()
+
+
+def test_chat_keeps_every_row_of_a_turn(spark, tmp_path):
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 0, "user", "again"), (1, 0, "assistant", "a & b"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (2, None, "user", None), (2, None, "user", ""), (2, 5, None, "<s>"), (2, 5, "assistant", "[INST]"), (2, 5, "assistant", "é")]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(path)
+    got = sorted(tuple(r) for r in chat.op7_chat(spark, str(tmp_path)).collect())
+    want = duckdb.sql(chat.OP7_SQL.replace("FROM conversations", f"FROM read_parquet('{path}/*.parquet')")).fetchall()
+    assert got == sorted(want) and {r[0]: r[1] for r in got} == {1: 6, 2: 5, -7: 2}

@@ -3,8 +3,9 @@
 Log: (conv_id, turn, seq, kind, role, text). ``message``, ``edit`` and
 ``regenerate`` set the text of their turn anew, ``delta`` appends to it,
 ``delete`` empties the log of the turn up to there (a turn without a later text
-is gone). Events are folded in the order (seq, kind, text) within a turn, turns
-stand in the order (turn, role). Each turn is folded first, in partial
+is gone). Where several messages share a turn number, a column slot tells them
+apart. Events are folded in the order (seq, kind, text) within a turn (and slot), turns
+stand in the order (turn, role, text). Each turn is folded first, in partial
 aggregates, so a conversation is put together from its turns, not its events;
 its rendering is one value by nature, hence one row.
 
@@ -41,12 +42,13 @@ def unescape(c: Column) -> Column:
 
 
 def fold_events(log: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text): the final message of every turn that has one.
+    """(conv_id, turn, role, text): the final message of every turn, or slot of it, that has one.
 
     The role is that of the last event that sets the text, or else of the first.
     """
-    e = log.select("conv_id", "turn", F.struct(F.col("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role")).alias("e"))
-    turns = e.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("e")).alias("events"))
+    key = ["conv_id", "turn"] + ["slot"] * ("slot" in log.columns)
+    e = log.select(*key, F.struct(F.col("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role")).alias("e"))
+    turns = e.groupBy(*key).agg(F.array_sort(F.collect_list("e")).alias("events"))
     empty = F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"))
     step = lambda s, x: (
         F.when(x["kind"] == "delete", empty)
@@ -57,9 +59,9 @@ def fold_events(log: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as message events of their turn, in the order of role and text."""
+    """Rows by turn as message events of their turn, each in a slot of its own."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("conv_id", "turn", F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    return rows.select("conv_id", "turn", F.monotonically_increasing_id().alias("slot"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
 def render(messages: DataFrame) -> DataFrame:
