@@ -7,6 +7,8 @@ one's ``docs``. All but the last keep the columns of ``documents``.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from wadi.llm.packing import pack
 from wadi.llm.storage import fresh_folder
 from wadi.llm.toxicity import drop_toxic
 
+#: Of near duplicates; a tree more than op2 has at 0.85, for as few lost links.
+LIKENESS, TREES = Fraction(4, 5), 4
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not predict to be toxic."""
@@ -25,7 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group of near duplicates."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    gone = near_duplicates(docs, likeness=LIKENESS, trees=TREES).where(~F.col("kept")).select("doc_id")
     return without_ids(docs, gone)
 
 

@@ -154,3 +154,18 @@ def test_leaks_query(docs, spark):
     assert D.leaks(docs([]), bench).count() == 0
     assert D.leaks(docs(rows), bench.where("item_id = 9")).count() == 0
     assert {(r["doc_id"], r["item_id"]) for r in D.leaks(docs(rows), bench, item_slice=1).collect()} == {(0, 1), (4, 4), (5, 1)}
+
+
+def test_pipeline_links_pairs_from_four_fifths_on(docs, spark):
+    import corpus_pipeline
+
+    rows, pairs = {}, []
+    for i, m in enumerate([*range(40, 62)] * 3):
+        words = [f"w{i}x{j}" for j in range(m + 4)]
+        rows[2 * i], words[m // 2] = " ".join(words), "edit"
+        rows[2 * i + 1] = " ".join(words)
+        pairs.append((m - 5) / (m + 5))
+    assert sum(0.8 <= p < 0.85 for p in pairs) >= 45 and min(pairs) < 0.8
+    want = brute_components(rows, 0.8)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(list(rows.values()), list(rows)), "").collect()}
+    assert got == {i for i in rows if want[i] == i}
