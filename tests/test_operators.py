@@ -93,6 +93,22 @@ def test_similar_sets_against_brute_force(spark):
     assert {(r["a"], r["b"]) for r in pairs.similar_sets(df, 0.6).collect()} == want
 
 
+def test_error_rate_of_whole_turns(spark, tmp_path):
+    import random
+
+    from wadi.plans.sequences import align_error_rate
+
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = ([rng.choice(["abc", "aabc", "cab", "abcabca", "x", "y", "zz"]) for _ in range(rng.randint(n, 12))] for n in (1, 0))
+        assert S.word_edits(a, b) == S.edit_table(a, b, S.substitution_cost)[-1, -1]
+    words = [f"word{i}" for i in range(90)]
+    later = [*words[:60], "other", *words[61:], "more"]
+    spark.createDataFrame([(1, 0, " ".join(words)), (1, 1, " ".join(later))], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = align_error_rate(spark, str(tmp_path)).collect()
+    assert [(r["edits"], r["rate"]) for r in got] == [(2.0, round(2 / 90, 6))]
+
+
 def test_gate():
     g = Gate()
     assert [e for p in (0.9, 0.9, 0.1, 0.1, 0.1, 0.1, 0.9) if (e := g.step(p))] == ["speech_start", "phrase_boundary"]
