@@ -65,6 +65,12 @@ def test_main_text():
     assert tag_paths.main_text('<script>var t="</p>";</script><article><p>a < b, and c.</p></article><p') == "a < b, and c."
 
 
+def test_main_text_keeps_all_sections_of_a_page():
+    long, short = ("Some long words, of the first section. " * n for n in (23, 2))
+    page = f"<html><body><div><section><p>{long}</p><p>{long}</p></section><section><p>{short}</p></section></div></body></html>"
+    assert tag_paths.main_text(page) == "\n\n".join([long.strip(), long.strip(), short.strip()])
+
+
 def test_pages_query(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = tag_paths.extract(rows).collect()

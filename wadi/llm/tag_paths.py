@@ -204,7 +204,7 @@ def selected(found: list[tuple[str, Node]], smoothing: float = SMOOTHING, share:
 
 
 def content_node(found: list[tuple[str, Node]], chosen: list[bool], holds: float = HOLDS) -> Node | None:
-    """The lowest container that holds nearly all selected text; an article or main element that does is final."""
+    """An article or main element that holds nearly all selected text, or else the lowest container of all of it."""
     children: dict[int, dict[int, Node]] = {}
     total, root = 0, None
     weight: dict[int, int] = {}
@@ -220,12 +220,14 @@ def content_node(found: list[tuple[str, Node]], chosen: list[bool], holds: float
             else:
                 root = up
             up = up.parent
-    at = root
+    at = whole = root
     while at is not None and at.tag not in ("article", "main"):
         best = max(children.get(id(at), {}).values(), key=lambda c: weight[id(c)], default=None)
         if best is None or best.tag not in ("div", "section", "article", "main", "body", "table", "tbody", "tr", "td", "center") or weight[id(best)] < holds * total:
-            break
+            return whole
         at = best
+        if weight[id(at)] == total:
+            whole = at
     if at is not None and at.tag == "main":  # an article in main
         inner = [c for c in children.get(id(at), {}).values() if c.tag == "article"]
         if len(inner) == 1 and weight[id(inner[0])] >= holds * total:
