@@ -93,6 +93,19 @@ def test_similar_sets_against_brute_force(spark):
     assert {(r["a"], r["b"]) for r in pairs.similar_sets(df, 0.6).collect()} == want
 
 
+def test_every_copy_has_the_class_of_its_set(spark):
+    import duckdb
+    import pandas as pd
+
+    from wadi.plans import lookup
+
+    rows = [(3, "one two three"), (1, "three ONE two two"), (2, "one two"), (9, "one, two, three"), (4, None), (5, "a b"), (6, "four five six")]
+    got = pairs.set_classes(spark.createDataFrame(rows, "id long, text string").select("id", T.tokens(F.col("text")).alias("words")))
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841 (read by the SQL)
+    want = {3: 1, 1: 1, 2: 2, 9: 1, 4: None, 5: None, 6: 6}
+    assert {r["id"]: r["class_id"] for r in got.collect()} == want == dict(duckdb.sql(lookup.SQL["near_dup_classes"]).fetchall())
+
+
 def test_error_rate_of_whole_turns(spark, tmp_path):
     import random
 

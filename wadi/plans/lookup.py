@@ -13,9 +13,17 @@ from wadi.plans.corpus import sliding_passages as _passages
 from wadi.plans.tables import table
 
 
+def _word_sets(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("words"))
+
+
 def near_dup_pairs(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("words"))
-    return pairs.similar_sets(d, 0.55)
+    """Pairs of classes of equal word sets; ``near_dup_classes`` has the class of every document."""
+    return pairs.similar_sets(_word_sets(spark, sf), 0.55)
+
+
+def near_dup_classes(spark, sf):
+    return pairs.set_classes(_word_sets(spark, sf)).withColumnRenamed("id", "doc_id")
 
 
 def containment_benchmark(spark, sf):
@@ -137,13 +145,15 @@ def equi_join_agg(spark, sf):
     return li.join(o, "l_orderkey").join(c, "c_custkey").groupBy("c_mktsegment", "year").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-QUERIES = {n: globals()[n] for n in "near_dup_pairs containment_benchmark interval_overlap membership_join cosine_synonyms synonym_expand fuzzy_name_match labels_anti_semi alias_match gloss_subset trigger_expand semi_pages editions_left equi_join_agg".split()}
+QUERIES = {n: globals()[n] for n in "near_dup_pairs near_dup_classes containment_benchmark interval_overlap membership_join cosine_synonyms synonym_expand fuzzy_name_match labels_anti_semi alias_match gloss_subset trigger_expand semi_pages editions_left equi_join_agg".split()}
 
 _Q = lambda xs: ", ".join(f"('{x}')" for x in xs)
 SQL = {
     "near_dup_pairs": f"""WITH s AS (SELECT doc_id, list_sort(list_distinct({_TOK})) AS w FROM documents), r AS (SELECT w, min(doc_id) AS id, len(w) AS n FROM s WHERE len(w) > 0 GROUP BY w),
       i AS (SELECT id, n, unnest(w) AS t FROM r), p AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS c FROM i x JOIN i y ON x.t = y.t AND x.id < y.id AND x.n >= 0.55 * y.n AND y.n >= 0.55 * x.n GROUP BY ALL)
       SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM p WHERE round(c / (na + nb - c), 6) >= 0.55""",
+    "near_dup_classes": f"""WITH s AS (SELECT doc_id, list_sort(list_distinct({_TOK})) AS w FROM documents)
+      SELECT doc_id, CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY w) END AS class_id FROM s""",
     "containment_benchmark": f"""WITH i AS (SELECT item_id, list_distinct({_TOK}) AS w FROM benchmark), x AS (SELECT item_id, len(w) AS n, unnest(w) AS t FROM i WHERE len(w) >= 4),
       d AS (SELECT doc_id, unnest(list_distinct({_TOK})) AS t FROM documents), m AS (SELECT doc_id, item_id, n, count(*) AS c FROM d JOIN x USING (t) GROUP BY ALL)
       SELECT doc_id, item_id, round(c / n, 6) AS share FROM m WHERE c >= 0.9 * n""",
