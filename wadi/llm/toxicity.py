@@ -6,8 +6,7 @@ backed off through its prefixes: each of prefix and whole word has a Dirichlet
 kept prefix, the shortest on the overall rate. Counts are damped by document
 (t times weigh 1 + floor(log2 t)), so no single text makes a token. Only tokens
 of at least ``MIN_TOXIC`` toxic texts and significantly above the overall rate
-are kept, at most ``MODEL_TOKENS`` of them by significance (the size bound of
-the broadcast).
+are kept, all of them: the model is bounded by the words of the labelled rows.
 
 Scan: each word scores its log-odds minus a drift, so that the expected score
 of ordinary text is negative; a linear scan finds all maximal scoring
@@ -16,8 +15,9 @@ lambda * S - ln(K * n) > 0, where the extreme-value (Gumbel) parameters lambda
 and K come from the best segments of the non-toxic training texts. The
 normalised best score and the sum over significant segments go through a
 logistic calibration. Model and calibration are fitted on at most
-``LABELLED_ROWS`` labelled rows (the first by a hash of their id), so their list
-can be broadcast to the texts, which are never shuffled.
+``LABELLED_ROWS`` labelled rows (the first by a hash of their id; of rows that
+repeat an id, the calibration sees as many), so their list can be broadcast to
+the texts, which are never shuffled.
 
 Defined results: null and empty texts have no segments and the score that the
 calibration gives to no evidence; labels that are null or not 0/1 are left
@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wadi.llm.storage import cut, fetch
+from wadi.llm.storage import cut, drop, fetch
 from wadi.llm.textcore import NON_ALNUM, Words, chunks, mix
 
 PREFIXES = (4, 5, 6, 7, 8, 9)
-PRIOR, DRIFT, MODEL_TOKENS, LABELLED_ROWS = 4.0, 0.5, 1 << 17, 1 << 17
+PRIOR, DRIFT, LABELLED_ROWS = 4.0, 0.5, 1 << 17
 MIN_TOXIC, MIN_Z, MOST_RATE = 3, 3.0, 0.999
 
 
@@ -83,16 +83,15 @@ def token_counts(train: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Kept tokens (sorted hashes by level) and their toxic and total counts."""
+    """Kept tokens (sorted hashes by level) and their toxic and total counts, from columns (level, token, toxic, total)."""
 
-    def __init__(self, kept: list, toxic: int, total: int, prior: float = PRIOR, drift: float = DRIFT):
+    def __init__(self, kept: pd.DataFrame, toxic: int, total: int, prior: float = PRIOR, drift: float = DRIFT):
         self.prior, self.drift = prior, drift
         self.base = (toxic + 0.5) / (total + 1)
         self.tables = {}
         for level in (*PREFIXES, 0):
-            own = sorted((t, a, b) for lv, t, a, b in kept if lv == level)
-            keys = np.array([t for t, _, _ in own], np.int64)
-            self.tables[level] = keys, np.array([a for _, a, _ in own], float), np.array([b for _, _, b in own], float)
+            own = kept[kept["level"] == level].sort_values("token")
+            self.tables[level] = own["token"].to_numpy(np.int64), own["toxic"].to_numpy(float), own["total"].to_numpy(float)
 
     def score(self, words: Words) -> np.ndarray:
         """Log-odds over the overall rate minus the drift, by word."""
@@ -201,18 +200,39 @@ def with_evidence(found: DataFrame, lam: float, k: float) -> DataFrame:
     return found.withColumn("one", F.lit(lam) * F.col("best") - F.col("norm")).withColumn("sum", F.log1p(total))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton iterations of a two-class logistic fit with intercept."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (y - p) - ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights (intercept first) of a two-class logistic fit; an error if it does not converge.
+
+    The inputs are standardised for the fit, so the penalty on the weights means
+    the same for each of them; a Newton step is halved until the penalised loss
+    falls, which a convex loss allows at every point but the minimum.
+    """
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(scale > 1e-12, scale, 1.0)
+    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    penalty = np.full(z.shape[1], ridge)
+    penalty[0] = 1e-6
+    sign = np.where(y > 0, 1.0, -1.0)
+    loss = lambda w: float(np.logaddexp(0.0, -sign * (z @ w)).sum() + 0.5 * (penalty * w * w).sum())
+    w = np.zeros(z.shape[1])
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        gradient = z.T @ (p - y) + penalty * w
+        if np.abs(gradient).max() < 1e-6 * max(len(x), 1):
+            break
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), gradient)
+        size = 1.0
+        while size > 1e-9 and not loss(w - size * step) < now:
+            size /= 2
+        if size <= 1e-9:
             break
+        w = w - size * step
+        now = loss(w)
+    else:
+        raise ArithmeticError("the logistic calibration did not converge")
+    w[1:] /= scale
+    w[0] -= float(w[1:] @ mean)
     return w
 
 
@@ -236,13 +256,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Fitted | None:
         return None
     base = toxic / total
     z = (F.col("toxic") - F.col("total") * base) / F.sqrt(F.col("total") * base * (1 - base))
-    kept = counts.withColumn("z", z).where((F.col("docs") >= MIN_TOXIC) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "level", "token").limit(MODEL_TOKENS)
-    model = Model([(r["level"], r["token"], r["toxic"], r["total"]) for r in kept.collect()], toxic, total)
-    seen = cut(scan(train, model).join(F.broadcast(marks), "doc_id"))
+    model = Model(fetch(counts.where((F.col("docs") >= MIN_TOXIC) & (z >= MIN_Z)).select("level", "token", "toxic", "total")), toxic, total)
+    drop(counts)
+    seen = scan(train, model).join(F.broadcast(marks), "doc_id").select("n_words", "best", "toxic", F.expr("transform(segments, s -> s.score)").alias("scores"))
+    seen = cut(seen.orderBy(F.xxhash64("n_words", "best", "toxic")).limit(LABELLED_ROWS))
     got = fetch(seen.select("n_words", "best", "toxic"))
     y, words, best = got["toxic"].to_numpy(float), got["n_words"].to_numpy(float), got["best"].to_numpy(float)
     lam, k = fit_gumbel(best[y == 0], words[y == 0])
-    got = fetch(with_evidence(seen, lam, k).select("one", "sum", "toxic"))
+    got = fetch(with_evidence(seen.withColumn("segments", F.expr("transform(scores, s -> named_struct('score', s))")), lam, k).select("one", "sum", "toxic"))
+    drop(seen)
     y = got["toxic"].to_numpy(float)
     a, b = got["one"].to_numpy(float), got["sum"].to_numpy(float)
     return Fitted(model, lam, k, fit_logistic(np.column_stack([a, b]), y))
