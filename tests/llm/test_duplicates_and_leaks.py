@@ -73,17 +73,34 @@ def test_near_duplicates_edges(docs):
 
 def test_likeness_is_inclusive():
     # 17 of 20: exactly 0.85
-    a, b = np.arange(18, dtype=np.uint32), np.arange(1, 20, dtype=np.uint32)
-    a = np.delete(a, 0)
-    a = np.append(a, 99)
-    assert P.forest(np.array([1, 2]), np.array([18, 19]), [np.sort(a), b], Fraction(17, 20)) == [(1, 2)]
-    assert P.forest(np.array([1, 2]), np.array([18, 19]), [np.sort(a), b], Fraction(18, 20)) == []
+    a, b = np.append(np.arange(1, 18), 99).astype(np.uint64), np.arange(1, 20, dtype=np.uint64)
+    assert P.forest([1, 2], [a, b], Fraction(17, 20)) == [(1, 2)] and P.like(a, b, Fraction(17, 20))
+    assert P.forest([1, 2], [a, b], Fraction(18, 20)) == [] and not P.like(a, b, Fraction(18, 20))
+
+
+def test_links_near_the_threshold_are_found(docs):
+    """A thousand pairs of likeness 0.85 to 0.9, in nodes that must branch: nine tenths and more of the links are kept."""
+    rng, rows, n = random.Random(3), {}, 0
+    common = [f"c{i}" for i in range(12)]
+    while n < 2000:
+        base = common + [f"w{n}x{i}" for i in range(rng.randint(120, 160))]
+        copy = list(base)
+        for at in rng.sample(range(20, len(base), 6), 2):
+            copy[at] = "edit"
+        a, b = brute_shingles(" ".join(base)), brute_shingles(" ".join(copy))
+        if 0.85 <= len(a & b) / len(a | b) <= 0.9:
+            rows[n], rows[n + 1] = " ".join(base), " ".join(copy)
+            n += 2
+    got = {r["doc_id"]: r["component_id"] for r in P.near_duplicates(docs(list(rows.values()), list(rows)), small=64).collect()}
+    found = sum(got[i + 1] == i for i in range(0, n, 2))
+    assert found >= 0.99 * n / 2 and all(got[i] == i for i in range(0, n, 2))
 
 
 def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (5, 5)], "a long, b long")
-    got = dict(components(edges).collect())
-    assert all(got[i] == 0 for i in range(61)) and got[300] == 100 and len(got) == 64
+    order = random.Random(1).sample(range(3000), 3000)
+    chain = [(order[i], order[i + 1]) for i in range(2999)]
+    got = dict(components(spark.createDataFrame([*chain, (4000, 5000), (5000, 6000), (5, 5)], "a long, b long")).collect())
+    assert all(got[i] == 0 for i in range(3000)) and got[6000] == 4000 and len(got) == 3003
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

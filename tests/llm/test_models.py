@@ -73,10 +73,28 @@ def test_frequent_tokens_have_finite_odds():
 
     words = Words(pa.array(["worthless text"]), NON_ALNUM)
     kept = [(level, int(h.view(np.int64)), 10**7, 10**7) for level, at, hashes in T._levels(words) for i, h in zip(at, hashes, strict=True) if i == 0]
-    odds = T.Model(kept, 10**8, 10**9).score(words)
+    odds = T.Model(pd.DataFrame(kept, columns=["level", "token", "toxic", "total"]), 10**8, 10**9).score(words)
     assert np.isfinite(odds).all() and odds[0] > 3 > odds[1]
 
 
+def test_calibration_converges_on_unscaled_inputs():
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 600.0):
+        y = (rng.random(4000) < 0.1).astype(float)
+        x = np.column_stack([rng.exponential(scale, 4000) * (y + 0.01) - 2, np.log1p(rng.exponential(scale, 4000)) * y])
+        w = T.fit_logistic(x, y)
+        predicted = w[0] + x @ w[1:] >= 0
+        assert np.isfinite(w).all() and predicted[y == 1].mean() > 0.9 and predicted[y == 0].mean() < 0.02
+
+
+def test_held_out_quality_of_the_query(spark):
+    for sf, least in (("sf0.01", 0.8), ("sf0.1", 0.9)):
+        got = T.op5_toxicity(spark, f"/root/testdata/{sf}").join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
+        caught = got[got["toxic"] == 1]["predicted"].mean()
+        right = got[got["predicted"] == 1]["toxic"].mean()
+        assert caught >= least and right >= 0.9
+
+
 def test_toxicity_without_labels(docs, spark):
     d, labels, _ = labelled(docs, spark, 20)
     assert T.fit(d, labels.where("toxic = 0")) is None

@@ -1,4 +1,4 @@
-"""Filters by sets of ids through a bitmap of fixed size, so that texts of other rows are not shuffled."""
+"""Filters by sets of ids through a bitmap of bounded size, so that texts of other rows are not shuffled."""
 
 from __future__ import annotations
 
@@ -10,18 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wadi.llm.storage import fetch
+from wadi.llm.storage import cut, fetch
 from wadi.llm.textcore import mix
 
-BITMAP_BITS = 1 << 24
+#: Bits for each id, and the least and most bits of a bitmap (16 MB; beyond 10^8 ids it lets more rows pass to the exact join).
+BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 
 
 def places(ids: np.ndarray, bits: int) -> np.ndarray:
     return mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(bits)
 
 
-def bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> bytes:
-    """A bitmap of hashed ids (the only column, long, no nulls); the driver gets at most ``bits`` / 32 rows, whatever the input."""
+def bitmap(ids: DataFrame, bits: int | None = None) -> bytes:
+    """A bitmap of hashed ids (the only column, long, no nulls), sized by their number; the driver gets at most ``MOST_BITS`` / 32 rows."""
+    if bits is None:
+        bits = 1 << min(max((BITS_PER_ID * ids.count()).bit_length(), LEAST_BITS.bit_length() - 1), MOST_BITS.bit_length() - 1)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,12 +43,25 @@ def maybe_in(ids: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
     return (bytes_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", bits: int = BITMAP_BITS) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows of ``docs`` whose id may be among ``ids`` (one column, long, no nulls)."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(batch.column(0).to_numpy(zero_copy_only=False), bits)))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    return rows.mapInArrow(run, "doc_id long, text string")
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", bits: int | None = None) -> DataFrame:
     """``docs`` but for the rows whose id is in ``gone`` (one column, long); rows without an id stay.
 
     Only rows that the bitmap cannot clear are joined, exactly.
     """
-    gone = gone.toDF("_gone").where("_gone IS NOT NULL").distinct()
+    gone = cut(gone.toDF("_gone").where("_gone IS NOT NULL").distinct())
     held = docs.sparkSession.sparkContext.broadcast(bitmap(gone, bits))
 
     @F.pandas_udf("boolean")

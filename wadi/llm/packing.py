@@ -67,6 +67,9 @@ class Tokens:
         self.closes = np.zeros(self.tok.get_vocab_size(), bool)
         self.closes[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.clear()
+        probe = "The Cat sat, on.  the\tmat\nTHE END"
+        if self.encode(pa.array([probe]))[0][:-1].tolist() != self.tok.encode(probe, add_special_tokens=False).ids:
+            raise ValueError(f"{path}: pieces between white space must be tokenised apart and without regard to case")
 
     def clear(self) -> None:
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of pieces, sorted, and their slots
@@ -127,7 +130,7 @@ class Tokens:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and text offsets."""
-        if len(self.keys) > self.cache:
+        if len(self.keys) > self.cache or self.used > 8 * self.cache:
             self.clear()
         if len(self.recent) > RECENT:
             keys = np.concatenate([self.keys, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))])

@@ -7,6 +7,7 @@ task needs memory for a chunk, never for its partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,16 +64,29 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the machine: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each part holds at most ``limit`` bytes of ``text`` (or one row)."""
-    for batch in batches:
-        _, offs = text_buffer(batch.column(batch.schema.get_field_index(text)))
-        start, n = 0, batch.num_rows
-        while start < n:
-            end = int(np.searchsorted(offs, offs[start] + limit, "right")) - 1
-            end = min(max(end, start + 1), n)
-            yield batch.slice(start, end - start)
-            start = end
+    try:
+        for batch in batches:
+            _, offs = text_buffer(batch.column(batch.schema.get_field_index(text)))
+            start, n = 0, batch.num_rows
+            while start < n:
+                end = int(np.searchsorted(offs, offs[start] + limit, "right")) - 1
+                end = min(max(end, start + 1), n)
+                yield batch.slice(start, end - start)
+                start = end
+    finally:
+        batch = None
+        release()
 
 
 class Words:
