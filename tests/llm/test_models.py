@@ -124,24 +124,48 @@ def test_suffix_tree_counts_and_base(docs):
         assert r["score"] < 0
 
 
+class PlainTree:
+    """Kept contexts in dictionaries; P by the longest kept suffix, each smoothed with the next shorter kept one."""
+
+    def __init__(self, keys, depth, gain=S.GAIN, mass=S.MASS):
+        self.depth, self.mass, seen = depth, mass, {}
+        for k in keys:
+            for level in range(depth + 1):
+                c = seen.setdefault((level, (k >> 8) & ((1 << 8 * level) - 1)), {})
+                c[k & 255] = c.get(k & 255, 0) + 1
+        self.kept = {}
+        for (level, c), n in seen.items():
+            total = sum(n.values())
+            if level:
+                up = seen[level - 1, c & ((1 << 8 * (level - 1)) - 1)]
+                if sum(m * math.log(m / total * sum(up.values()) / up[x]) for x, m in n.items()) < gain:
+                    continue
+            self.kept[level, c] = n
+
+    def p(self, key, level=None):
+        level = self.depth if level is None else level
+        while level >= 0 and (level, key >> 8 & ((1 << 8 * level) - 1)) not in self.kept:
+            level -= 1
+        if level < 0:
+            return 1 / 256
+        n = self.kept[level, key >> 8 & ((1 << 8 * level) - 1)]
+        return (n.get(key & 255, 0) + self.mass * self.p(key, level - 1)) / (sum(n.values()) + self.mass)
+
+
 def test_tree_is_a_distribution():
-    rows = []
-    text = "abracadabra abracadabra\n"
-    for level in range(3):
-        for i in range(level, len(text)):
-            ctx = 0
-            for b in range(level):
-                ctx |= ord(text[i - 1 - b]) << (8 * b)
-            rows.append((level, ctx, ord(text[i]), 1))
-    table = pd.DataFrame(rows, columns=["level", "context", "next", "n"]).groupby(["level", "context", "next"], as_index=False).sum()
-    tree = S.Tree(table, depth=2)
-    for context in ("", "a", "ab", "ra", "zz"):
-        ctx = 0
-        for b, c in enumerate(reversed(context)):
-            ctx |= ord(c) << (8 * b)
-        keys = np.array([(ctx << 8) | s for s in range(256)], np.uint64)
-        assert abs((10 ** tree.score(keys)).sum() - 1) < 1e-9
-    assert S.Tree(table.iloc[:0], depth=2).score(np.array([1], np.uint64))[0] == math.log10(1 / 256)
+    text = "abracadabra abracadabra alakazam\n"
+    pack = lambda c: sum(ord(x) << 8 * b for b, x in enumerate(reversed(c)))
+    seen = [pack(text[i - 6 : i + 1]) for i in range(6, len(text))]
+    tree = PlainTree(seen, S.DEPTH)
+    for context in ("abraca", "dabra ", "zzzzzz", "akazam"):
+        keys = [pack(context) << 8 | x for x in range(256)]
+        assert abs(sum(tree.p(k) for k in keys) - 1) < 1e-9
+        every = np.array(seen + keys, np.uint64)
+        n = np.array([1] * len(seen) + [0] * 256)
+        low = S.Low(every & np.uint64(0xFFFFFF), n)
+        batch = S._lot(every, n, low, S.GAIN, S.MASS)
+        got = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        assert max(abs(10 ** got[k] - tree.p(k)) for k in keys + seen) < 1e-9
 
 
 def test_symbols_spell_the_words():
@@ -167,21 +191,8 @@ def test_no_context_is_dropped_and_runs_beyond_the_cache_score_alike(docs):
     sym, offs = S.symbols(Words(pa.array(rows)))
     of = np.repeat(np.arange(len(rows)), np.diff(offs) - S.DEPTH)
     keys = S.grams(sym, offs)
-    seen: dict[tuple[int, int], dict[int, int]] = {}
-    for k in keys[~np.array(held)[of]].tolist():
-        for level in range(S.DEPTH + 1):
-            c = seen.setdefault((level, (k >> 8) & ((1 << 8 * level) - 1)), {})
-            c[k & 255] = c.get(k & 255, 0) + 1
-    want = []
-    for (level, c), n in seen.items():
-        total = sum(n.values())
-        if level:
-            up = seen[level - 1, c & ((1 << 8 * (level - 1)) - 1)]
-            gain = sum(m * math.log(m / total * sum(up.values()) / up[x]) for x, m in n.items())
-        if not level or gain >= S.GAIN:
-            want += [(level, c, x, m) for x, m in n.items()]
-    tree = S.Tree(pd.DataFrame(want, columns=["level", "context", "next", "n"]))
-    logs = tree.score(keys)
+    tree = PlainTree(keys[~np.array(held)[of]].tolist(), S.DEPTH)
+    logs = [math.log10(tree.p(k)) for k in keys.tolist()]
     exact = np.bincount(of, weights=logs)
     for cached in (S.RUNS, 50, 0):
         got = {r["doc_id"]: r["score"] for r in S.score(table, cached=cached).collect()}

@@ -9,16 +9,19 @@ distribution of its longest kept suffix (Dirichlet smoothing of mass ``MASS``),
 root with the uniform one; scoring uses the longest kept suffix at each symbol.
 The score is the log10 probability of all symbols, so of the words and the end.
 
-The tree has no size bound: it is a table dealt by the two nearest symbols of its
-contexts (the at most 257 contexts of less are broadcast), and the distinct runs of
-DEPTH + 1 symbols of all texts meet their part of it there. Of the runs with their
-log probabilities the ``RUNS`` most frequent are broadcast, as a cache; the others
-are looked up by a join on (document, run) rows, so every run has its exact value.
+The tree has no size bound: runs of DEPTH + 1 symbols are dealt by the three nearest
+symbols of their contexts, and each task grows its part of the tree level by level
+from the counts of all levels, tests it, and gives every run its log probability.
+Contexts of at most two symbols (at most 2 ** 16, whatever the input) are
+grown on the driver and broadcast. Of the runs with their log probabilities the
+``RUNS`` most frequent are broadcast, as a cache; the others are looked up by a join
+on (document, run) rows, so every run has its exact value.
 
 Counting: each task counts the distinct runs of DEPTH + 1 symbols of its texts
-(a hash table, no objects), Spark sums them; runs of held-out texts count 0. Word counts for the base score go
-the same way; words of the ``HEAD`` most frequent are looked up in a broadcast of
-fixed size, the others by a join on (document, word) rows.
+(a hash table, no objects), the tasks of the tree add them up; runs of held-out
+texts count 0. Word counts for the base score go the same way; words of the ``HEAD``
+most frequent are looked up in a broadcast of fixed size, the others by a join on
+(document, word) rows.
 
 Defined results: a null or empty text is the end token alone; repeated ids are
 scored separately; without training rows the model is uniform, all counts 0.
@@ -35,10 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wadi.llm.storage import fetch, fresh_folder
-from wadi.llm.textcore import Words, chunks
+from wadi.llm.storage import cut, drop, fetch
+from wadi.llm.textcore import Words, chunks, release
 
-DEPTH, GAIN, RUNS, MASS, HEAD = 6, 2.0, 1 << 20, 12.0, 1 << 18
+DEPTH, GAIN, RUNS, MASS, HEAD = 6, 2.0, 1 << 21, 12.0, 1 << 18
+#: Contexts up to this length are grown on the driver, and longer ones dealt by so many symbols and one more.
+LOW = 2
+#: Runs that a task of the tree handles at once, and more only if they share their three nearest symbols.
+LOT = 1_000_000
 END, SEP = 0x0A, 0x20
 CHUNK = 2 << 20
 #: Stands for the end token among word hashes.
@@ -112,103 +119,109 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(parts)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared folder as compressed columns."""
-    spark = df.sparkSession
-    path = fresh_folder(spark, "suffix_tree")
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) over all training texts of (text, held_out), and the runs of the others."""
-    return docs.select("text", "held_out").mapInArrow(_train, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def context_counts(runs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(level, context, next, n): next-symbol counts of contexts of 0 to ``depth`` symbols, nearest symbol in the low byte."""
-    each = F.explode(F.sequence(F.lit(0), F.lit(depth)))
-    mask = F.when(F.col("level") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, level * 8) - 1"))
-    got = runs.select("key", "n", each.alias("level")).select("level", F.expr("shiftright(key, 8)").bitwiseAND(mask).alias("context"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("next"), "n")
-    return got.groupBy("level", "context", "next").agg(F.sum("n").alias("n"))
-
-
-def tree_rows(ctx: DataFrame, gain: float = GAIN) -> DataFrame:
-    """The rows of ``ctx`` of the root and of every context that diverges from its suffix."""
-    totals = ctx.groupBy("level", "context").agg(F.sum("n").alias("total"))
-    own = stored(ctx.join(totals, ["level", "context"]))
-    up = own.select((F.col("level") + 1).alias("level"), F.col("context").alias("suffix"), "next", (F.col("n") / F.col("total")).alias("q"))
-    cut_suffix = F.expr("context & (shiftleft(1L, (level - 1) * 8) - 1)")
-    child = own.where("level > 0").withColumn("suffix", F.when(F.col("level") == 1, F.lit(0).cast("long")).otherwise(cut_suffix))
-    both = child.join(up, ["level", "suffix", "next"])
-    kl = both.groupBy("level", "context").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"))
-    rows = own.select("level", "context", "next", "n")
-    return rows.where("level = 0").unionByName(rows.where("level > 0").join(kl.where(F.col("gain") >= gain).select("level", "context"), ["level", "context"]))
-
-
-class Tree:
-    """Kept contexts with their counts; log10 probabilities by longest kept suffix."""
-
-    def __init__(self, rows: pd.DataFrame, mass: float = MASS, depth: int = DEPTH):
-        self.depth, self.levels = depth, []
-        for level in range(depth + 1):
-            part = rows[rows["level"] == level].sort_values(["context", "next"])
-            context, nxt, n = part["context"].to_numpy(np.uint64), part["next"].to_numpy(np.uint64), part["n"].to_numpy(float)
-            kinds, first = np.unique(context, return_index=True)
-            total = np.add.reduceat(n, first) if len(first) else np.zeros(0)
-            keys = context << np.uint64(8) | nxt
-            owner = np.searchsorted(kinds, context)
-            # smoothed with the distribution of the longest kept suffix, known from the levels before
-            below = np.full(len(keys), 1 / 256) if level == 0 else 10 ** self._log10(keys, level - 1)
-            p = (n + mass * below) / (total[owner] + mass) if len(keys) else np.zeros(0)
-            self.levels.append((kinds, np.log10(mass / (total + mass)), keys, np.log10(p)))
-
-    def _log10(self, keys: np.ndarray, top: int) -> np.ndarray:
-        """log10 P(low byte | the symbols above it), with contexts of at most ``top`` symbols."""
-        out = np.zeros(len(keys))
-        todo = np.arange(len(keys))
-        for level in range(top, -1, -1):
-            kinds, back, known, logp = self.levels[level]
-            if not len(kinds) or not len(todo):
-                continue
-            own = keys[todo] & np.uint64((1 << (8 * (level + 1))) - 1)
-            i = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            hit = known[i] == own
-            out[todo[hit]] += logp[i[hit]]
-            todo, own = todo[~hit], own[~hit]
-            c = own >> np.uint64(8)
-            j = np.minimum(np.searchsorted(kinds, c), len(kinds) - 1)
-            state = kinds[j] == c
-            out[todo[state]] += back[j[state]]  # an unseen symbol: the smoothing mass times the suffix's probability
-        out[todo] += math.log10(1 / 256)
-        return out
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        return self._log10(keys, self.depth)
-
-
-def _logs(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    """(key, n, logp) of runs, from rows (level, context, next, n) of tree and, behind them, of runs (level null)."""
-    tree, parts = None, [held.value]
+def levels_of(keys: np.ndarray, n: np.ndarray, low: int, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Distinct runs, and for every level from ``low`` to ``depth`` (start, parent, n, context) of its (context, next) entries.
+
+    Runs are sorted by the next symbol, then by the context from its nearest
+    symbol on, so the entries of every level are stretches of them: ``start`` is
+    an entry's first run, ``parent`` its entry one level below, ``context`` the
+    number of its context.
+    """
+    turned = (keys & np.uint64(255)) << np.uint64(8 * depth)
+    for back in range(1, depth + 1):
+        turned |= (keys >> np.uint64(8 * back) & np.uint64(255)) << np.uint64(8 * (depth - back))
+    order = np.argsort(turned)
+    turned, sorted_keys, n = turned[order], keys[order], n[order].astype(float)
+    new = np.ones(len(turned), bool)
+    np.not_equal(turned[1:], turned[:-1], out=new[1:])
+    runs = np.flatnonzero(new)
+    turned, sorted_keys, n = turned[runs], sorted_keys[runs], np.add.reduceat(n, runs) if len(runs) else n
+    out, above = [], None
+    for level in range(low, depth + 1):
+        prefix = turned >> np.uint64(8 * (depth - level))
+        first = np.ones(len(prefix), bool)
+        np.not_equal(prefix[1:], prefix[:-1], out=first[1:])
+        start = np.flatnonzero(first)
+        context, _ = pd.factorize(prefix[start] & np.uint64((1 << 8 * level) - 1))
+        parent = np.zeros(len(start), np.int64) if above is None else np.searchsorted(above, start, "right") - 1
+        out.append((start, parent, np.add.reduceat(n, start) if len(start) else n, context))
+        above = start
+    return sorted_keys, out
+
+
+def grown(entries: list, logp: np.ndarray | None, below: np.ndarray | None, gain: float, mass: float) -> np.ndarray:
+    """Log10 probability of every entry of the last level by its longest kept context.
+
+    ``entries`` are levels one upon the other; ``logp`` and ``below`` are the log
+    probabilities and counts' shares of the first of them, which is taken as
+    grown; None if that is the root.
+    """
+    for i, (_, parent, n, context) in enumerate(entries):
+        if i == 0 and logp is not None:
+            continue
+        total = np.bincount(context, weights=n)
+        share = n / np.maximum(total, 1)[context]
+        if logp is None:
+            logp = np.log10((n + mass / 256) / (total + mass)[context]) if len(n) else np.zeros(0)
+        else:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                part = np.where(n > 0, n * np.log(share / below[parent]), 0.0)
+            kept = np.bincount(context, weights=part) >= gain
+            under = logp[parent]
+            logp = np.where(kept[context], np.log10((n + mass * 10**under) / (total + mass)[context]), under)
+        below = share
+    return logp
+
+
+class Low:
+    """The tree up to ``LOW`` symbols: its (context, next) entries as sorted keys, their log probabilities and shares."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, gain: float = GAIN, mass: float = MASS):
+        runs, entries = levels_of(keys, n, 0, LOW)
+        logp = grown(entries, None, None, gain, mass)
+        _, _, own, context = entries[-1]
+        total = np.bincount(context, weights=own)
+        order = np.argsort(runs)
+        self.keys, self.logp, self.share = runs[order], logp[order], (own / np.maximum(total, 1)[context])[order]
+
+
+def _lot(keys: np.ndarray, n: np.ndarray, low: Low, gain: float, mass: float) -> pa.RecordBatch:
+    runs, entries = levels_of(keys, n, LOW, DEPTH)
+    at = np.searchsorted(low.keys, runs[entries[0][0]] & np.uint64((1 << 8 * (LOW + 1)) - 1))
+    logp = grown(entries, low.logp[at], low.share[at], gain, mass)
+    return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(entries[-1][2].astype(np.int64)), pa.array(logp)], names=["key", "n", "logp"])
+
+
+def _logs(batches: Iterator[pa.RecordBatch], held, gain: float, mass: float) -> Iterator[pa.RecordBatch]:
+    """(key, n, logp) of the distinct runs of (near, key, n), sorted by near; all runs of a value of near at once."""
+    parts, size, near = [], 0, None
     for batch in batches:
-        run = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-        if not run.all():
-            parts.append(batch.filter(pa.array(~run)).to_pandas())
-        if run.any():
-            tree = tree or Tree(pd.concat(parts))
-            rows = batch.filter(pa.array(run))
-            keys = rows.column(1).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(3), pa.array(tree.score(keys))], names=["key", "n", "logp"])
-
-
-def run_logs(runs: DataFrame, tree: DataFrame) -> DataFrame:
-    """(key, n, logp) of all ``runs`` (key, n), dealt with the tree by the two nearest symbols of the context."""
-    held = runs.sparkSession.sparkContext.broadcast(fetch(tree.where("level < 2")))
-    near = lambda c: c.bitwiseAND(F.lit(0xFFFF).cast("long")).alias("near")
-    deep = tree.where("level >= 2").select(near(F.col("context")), "level", "context", "next", "n")
-    asked = runs.select(near(F.shiftright("key", 8)), F.lit(None).cast("int").alias("level"), F.col("key").alias("context"), F.lit(0).alias("next"), "n")
-    dealt = deep.unionByName(asked).repartition("near").sortWithinPartitions(F.col("level").isNull())
-    return dealt.select("level", "context", "next", "n").mapInArrow(lambda it: _logs(it, held), "key long, n long, logp double")
+        if not batch.num_rows:
+            continue
+        own = batch.column(0).to_numpy()
+        keys, n = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+        if size >= LOT and (own[0] != near or own[-1] != near):
+            cut_at = int(np.searchsorted(own, near, "right"))
+            parts.append((keys[:cut_at], n[:cut_at]))
+            yield _lot(*(np.concatenate(x) for x in zip(*parts, strict=True)), held.value, gain, mass)
+            parts, size = [], 0
+            keys, n = keys[cut_at:], n[cut_at:]
+        parts.append((keys, n))
+        size, near = size + len(keys), own[-1]
+    if size:
+        yield _lot(*(np.concatenate(x) for x in zip(*parts, strict=True)), held.value, gain, mass)
+    parts = None
+    release()
+
+
+def run_logs(runs: DataFrame, gain: float = GAIN, mass: float = MASS) -> DataFrame:
+    """(key, n, logp) of all distinct runs from counts (key, n), in which a run may stand several times."""
+    few = F.col("key").bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1).cast("long")).alias("key")
+    low = fetch(runs.groupBy(few).agg(F.sum("n").alias("n")))
+    held = runs.sparkSession.sparkContext.broadcast(Low(low["key"].to_numpy(np.int64).view(np.uint64), low["n"].to_numpy(np.int64), gain, mass))
+    near = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1).cast("long")).cast("int")
+    dealt = runs.select(near.alias("near"), "key", "n").repartition("near").sortWithinPartitions("near")
+    return dealt.mapInArrow(lambda it: _logs(it, held, gain, mass), "key long, n long, logp double")
 
 
 def frequency(n: Column) -> Column:
@@ -294,20 +307,19 @@ def score(docs: DataFrame, folds: int = 10, cached: int = RUNS) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
-    both = stored(counts(base.select("text", held_out.alias("held_out"))))
-    sums = both.where("kind = 1").agg(F.sum("n").alias("N"), F.count("*").alias("V")).first()
+    parts = cut(base.select("text", held_out.alias("held_out")).mapInArrow(_train, "kind int, key long, n long"))
+    words = cut(parts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")))
+    sums = words.agg(F.sum("n").alias("N"), F.count("*").alias("V")).first()
     n, v = sums["N"] or 0, sums["V"]
-    runs = both.where("kind = 0").select("key", "n")
-    tree = stored(tree_rows(context_counts(runs.where("n > 0"))))
-    logs = stored(run_logs(runs, tree))
+    logs = cut(run_logs(parts.where("kind = 0").select("key", "n")))
+    drop(parts)
     least_run = least_class(logs, cached)
     top = fetch(logs.where(frequency(F.col("n")) >= least_run).select("key", "logp")).sort_values("key")
-    words = both.where("kind = 1").select("key", "n")
     head = fetch(words.orderBy(F.desc("n"), "key").limit(HEAD))
     end = fetch(words.where(F.col("key") == int(END_WORD.astype(np.int64))))
     head = pd.concat([head, end]).drop_duplicates("key")
     held = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64).view(np.uint64), top["logp"].to_numpy(float), Head(head["key"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64))))
-    found = stored(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(lambda it: _score(it, held), SCORED))
+    found = cut(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(lambda it: _score(it, held), SCORED))
     least = int(head["n"].min()) if len(head) else 0
     rare = found.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("t"))
     tail = words.where(F.col("n") <= least).withColumnRenamed("n", "c")
