@@ -117,7 +117,7 @@ def test_warc_round_trip(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     written = warc.write_archives(pages, folder, archive_bytes=600)
     directory = warc.build_index(written, folder, block_lines=2)
-    got = {r["page_id"]: r for r in warc.read_back(directory, folder).collect()}
+    got = {r["page_id"]: r for r in warc.captures(written.select("url_key"), directory, folder).collect()}
     assert len(got) == len(rows)
     for i, _, html in rows:
         data = (html or "").encode()
@@ -128,8 +128,10 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(h["warc-record-id"] for h, _ in found) == ["<urn:page:5>", "<urn:page:7>"]
     assert look.lookup("http://nowhere.example/") == []
     assert look.lookup("https://example.com/z")[0][1] == big.encode()
+    some = written.where("page_id in (3, 4, 9)").select("url_key")
+    assert sorted(r["page_id"] for r in warc.captures(some, directory, folder).collect()) == [3, 4, 9]
     empty = warc.write_archives(pages.where("page_id > 100"), f"{folder}2")
-    assert warc.read_back(warc.build_index(empty, f"{folder}2"), f"{folder}2").count() == 0
+    assert warc.captures(empty.select("url_key"), warc.build_index(empty, f"{folder}2"), f"{folder}2").count() == 0
     assert warc.url_key("http://a.b.c:8080/x") == "c,b,a:8080)/x"
 
 

@@ -56,19 +56,24 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text string")
 
 
+def split_by_ids(rows: DataFrame, ids: DataFrame, id_col: str, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id is surely not among ``ids`` (one column, long, no nulls; rows without an id count here), and the others."""
+    held = rows.sparkSession.sparkContext.broadcast(bitmap(ids, bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(own: pd.Series) -> pd.Series:
+        known = own.notna().to_numpy()
+        return pd.Series(known & maybe_in(own.fillna(0).to_numpy(np.int64), np.frombuffer(held.value, np.uint8)))
+
+    flagged = maybe(F.col(id_col).cast("long"))
+    return rows.where(~flagged), rows.where(flagged)
+
+
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", bits: int | None = None) -> DataFrame:
     """``docs`` but for the rows whose id is in ``gone`` (one column, long); rows without an id stay.
 
     Only rows that the bitmap cannot clear are joined, exactly.
     """
     gone = cut(gone.toDF("_gone").where("_gone IS NOT NULL").distinct())
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(gone, bits))
-
-    @F.pandas_udf("boolean")
-    def maybe(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        return pd.Series(known & maybe_in(ids.fillna(0).to_numpy(np.int64), np.frombuffer(held.value, np.uint8)))
-
-    flagged = maybe(F.col(id_col).cast("long"))
-    kept = docs.where(flagged).join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return docs.where(~flagged).unionByName(kept)
+    clear, others = split_by_ids(docs, gone, id_col, bits)
+    return clear.unionByName(others.join(gone, F.col(id_col) == F.col("_gone"), "left_anti"))

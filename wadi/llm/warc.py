@@ -9,12 +9,15 @@ ones count, so lost executors and repeated tasks leave stray files at most.
 
 Index: reversed-host URL keys ("com,example,www)/path"), sorted by range
 partitions into compressed blocks of ``BLOCK_LINES`` lines; the sparse directory
-keeps the first key of each block with the block's file, offset and length. A
-lookup binary-searches the directory for the blocks of a key, range-reads those,
-then range-reads the records.
+keeps the first key of each block with the block's file, offset and length; blocks
+grow with the captures, so that it has at most about ``DIRECTORY_ROWS`` entries and can be
+broadcast. A lookup binary-searches the directory for the blocks of its key,
+range-reads those, then range-reads the records; ``captures`` does so for a table of
+keys, each block being read once for all of them.
 
-Digests are computed in the JVM, only repeated ones are joined (few, or else by
-a shuffle): pages are not moved for deduplication.
+Digests are computed in the JVM and joined without the pages. Pages of which a bitmap of
+bounded size tells that they repeat none are written where they are read; only the
+others are moved to meet the page that they refer to.
 
 Defined results: a null payload is empty, a null URL has the empty key; equal
 payloads under one page id are each a record, the first in the order of the
@@ -39,14 +42,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wadi.llm.storage import cut, fresh_folder
+from wadi.llm.ids import split_by_ids
+from wadi.llm.storage import cut, drop, fetch, fresh_folder
 
-REVISIT_BYTES, ARCHIVE_BYTES, BLOCK_LINES = 100, 64 << 20, 1000
+REVISIT_BYTES, ARCHIVE_BYTES, BLOCK_LINES, DIRECTORY_ROWS = 100, 64 << 20, 1000, 500_000
 DATE = "2024-01-01T00:00:00Z"
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder URI (file, hdfs, s3, gs, or a plain path)."""
+    """File system and path of a folder URI (file, hdfs, s3, gs; a plain path is one of this machine, for tests)."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
 
 
@@ -97,8 +101,13 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
     """Writes one record per page; (page_id, url, url_key, digest, file, offset, length) as it stands in the folder."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("big", F.octet_length("html") >= revisit_bytes)
-    firsts = cut(base.where("big").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("big"), "first"))
-    marked = base.join(firsts, ["digest", "big"], "left").select("page_id", "url", "html", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    sums = cut(base.where("big").select("page_id", "digest"))
+    firsts = sums.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
+    repeats = cut(sums.join(firsts, "digest").where("refers_to < page_id").select("page_id", "digest", "refers_to").distinct())
+    drop(sums)
+    columns = ("page_id", "url", "html", "digest", "refers_to")
+    own, moved = split_by_ids(base, repeats.select("page_id"), "page_id")
+    marked = own.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(moved.join(repeats, ["page_id", "digest"], "left").select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_fs(folder)
@@ -172,8 +181,8 @@ def build_index(written: DataFrame, folder: str, block_lines: int = BLOCK_LINES)
         if out:
             yield _rows(out, DIRECTORY)
 
-    n = max(1, written.rdd.getNumPartitions())
-    rows = written.select("url_key", "page_id", "digest", "file", "offset", "length").repartitionByRange(n, "url_key", "file", "offset").sortWithinPartitions("url_key", "file", "offset")
+    block_lines = max(block_lines, written.count() // DIRECTORY_ROWS)
+    rows = written.select("url_key", "page_id", "digest", "file", "offset", "length").repartitionByRange("url_key", "file", "offset").sortWithinPartitions("url_key", "file", "offset")
     return cut(rows.mapInArrow(run, DIRECTORY))
 
 
@@ -191,65 +200,101 @@ class Directory:
         self.rows = sorted(tuple(r) for r in rows)
         self.first = [r[0] for r in self.rows]
 
-    def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
-        """All captures of a URL: headers and payload block."""
-        key = url_key(url)
-        fs, path = open_fs(self.folder)
-        found = []
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """(file, offset, length) of the blocks that may hold the key."""
         # a key may fill several blocks: begin with the last block that starts before it
         i = max(0, bisect.bisect_left(self.first, key) - 1)
         while i < len(self.rows) and self.first[i] <= key:
             _, last, file, offset, length, _ = self.rows[i]
             if last >= key:
-                for k, _, _, warc, at, size in read_block(fs, path, file, offset, length):
-                    if k == key:
-                        with fs.open_input_file(f"{path}/{warc}") as f:
-                            found.append(parse(f.read_at(size, at)))
+                yield file, offset, length
             i += 1
+
+    def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
+        """All captures of a URL: headers and payload block."""
+        key = url_key(url)
+        fs, path = open_fs(self.folder)
+        found = []
+        for file, offset, length in self.blocks(key):
+            for k, _, _, warc, at, size in read_block(fs, path, file, offset, length):
+                if k == key:
+                    with fs.open_input_file(f"{path}/{warc}") as f:
+                        found.append(parse(f.read_at(size, at)))
         return found
 
 
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+FOUND = "block_file string, block_offset long, block_length long, key string"
+
+
 def _page(urn: str | None) -> int | None:
     got = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
     return int(got[1]) if got else None
 
 
-def read_back(directory: DataFrame, folder: str) -> DataFrame:
-    """Every capture through the index: blocks are dealt to tasks, records range-read file by file."""
+def captures(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all captures of the ``keys`` (one column).
+
+    Every key is searched in the directory; blocks that hold any are dealt to
+    tasks and read once, their records range-read file by file.
+    """
+    spark = keys.sparkSession
+    rows = fetch(directory)
+    held = spark.sparkContext.broadcast(Directory(folder, list(rows.itertuples(index=False, name=None))))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(*block, key) for key in batch.column(0).to_pylist() for block in held.value.blocks(key)]
+            if out:
+                yield _rows(out, FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_fs(folder)
+        block, wanted = None, set()
+
+        def read() -> pa.RecordBatch:
+            out, at, f = [], None, None
+            for key, _, digest, warc, start, size in sorted(read_block(fs, path, *block), key=lambda x: (x[3], x[4])):
+                if key not in wanted:
+                    continue
+                if warc != at:
+                    if f is not None:
+                        f.close()
+                    f, at = fs.open_input_file(f"{path}/{warc}"), warc
+                headers, payload = parse(f.read_at(size, start))
+                kind, said = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha256:")
+                n = int(headers["warc-payload-length"])
+                if kind == "response":
+                    said, n = hashlib.sha256(payload).hexdigest(), len(payload)
+                if said != digest:
+                    raise ValueError(f"the record at {warc}:{start} does not hold what its index line says")
+                out.append((_page(headers["warc-record-id"]), n, said, kind, _page(headers.get("warc-refers-to"))))
+            if f is not None:
+                f.close()
+            return _rows(out, RESULT)
+
         for batch in batches:
-            for file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out, at, f = [], None, None
-                for _, _, digest, warc, start, size in sorted(read_block(fs, path, file, offset, length), key=lambda x: (x[3], x[4])):
-                    if warc != at:
-                        if f is not None:
-                            f.close()
-                        f, at = fs.open_input_file(f"{path}/{warc}"), warc
-                    headers, block = parse(f.read_at(size, start))
-                    kind, said = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha256:")
-                    n = int(headers["warc-payload-length"])
-                    if kind == "response":
-                        said, n = hashlib.sha256(block).hexdigest(), len(block)
-                    if said != digest:
-                        raise ValueError(f"the record at {warc}:{start} does not hold what its index line says")
-                    out.append((_page(headers["warc-record-id"]), n, said, kind, _page(headers.get("warc-refers-to"))))
-                if f is not None:
-                    f.close()
-                yield _rows(out, RESULT)
-
-    n = max(1, directory.rdd.getNumPartitions())
-    return directory.select("block_file", "block_offset", "block_length").repartition(n).mapInArrow(run, RESULT)
+            for *own, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != block and block is not None:
+                    yield read()
+                    wanted = set()
+                block = own
+                wanted.add(key)
+        if block is not None:
+            yield read()
+
+    # by number, so that small rows which stand for large reads are not put together
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    where = keys.distinct().mapInArrow(search, FOUND).repartition(n, "block_file", "block_offset")
+    return where.sortWithinPartitions("block_file", "block_offset").mapInArrow(run, RESULT)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "warc")
     written = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_back(build_index(written, folder), folder)
+    return captures(written.select("url_key"), build_index(written, folder), folder)
 
 
 OP9_SQL = r"""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wadi.llm.textcore import _BASE, _power, mix
+from wadi.llm.textcore import _BASE, _power, chunks, mix
 
 K, WINDOW = 16, 32
 #: Parts that texts are dealt to at most (each is streamed, so a larger one needs no more memory).
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, hashes and positions (arrays of long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             found = [fingerprint(t or "", k, window) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([h.astype(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([p.astype(np.int64) for _, p in found], pa.list_(pa.int64()))],
@@ -127,7 +127,8 @@ def in_order(docs: DataFrame, per_part: int = 4000) -> DataFrame:
     ahead = rows.drop("part").join(F.broadcast(plan), key).groupBy("to_part", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     ahead = ahead.select("doc_id", "text", F.col("to_part").alias("part"), F.lit(1).alias("ahead"))
     both = rows.withColumn("ahead", F.lit(0)).unionByName(ahead)
-    return both.repartition(len(heads), "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
+    # a part for each task: hashed parts would meet in tasks
+    return both.repartitionById(heads[-1][0] + 1, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long"
@@ -144,8 +145,8 @@ def neighbours_report(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
             return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), encode(fp), encode(other), likeness(a, b), likeness(a, c), len(fp)
 
         held, out, size = None, [], 0
-        for batch in batches:
-            for doc_id, text, part, ahead in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for some in chunks(batches, "text"):
+            for doc_id, text, part, ahead in zip(*(some.column(i).to_pylist() for i in range(4)), strict=True):
                 text = text or ""
                 fp, _ = fingerprint(text, k, window)
                 if held is not None and held[0] == part:
