@@ -47,7 +47,7 @@ from wadi.llm.ids import texts_of
 from wadi.llm.storage import cut, drop
 from wadi.llm.textcore import Words, chunks, mix, release, shingles
 
-TREES, COORDS, SMALL, DEPTH, WIDE = 3, 64, 512, 24, 3
+TREES, COORDS, SMALL, DEPTH, WIDE = 3, 64, 4096, 24, 3
 #: Documents that are held against one copy of a centre.
 BLOCK = 256
 LIKENESS = Fraction(85, 100)
@@ -248,20 +248,19 @@ def star_links(docs: DataFrame, pairs: DataFrame, likeness: Fraction, k: int) ->
 
 
 def forest(reps: list[int], sets: list[np.ndarray], likeness: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one group, from exact intersections."""
-    n = len(reps)
-    offs = np.zeros(n + 1, np.int64)
-    np.cumsum([len(t) for t in sets], out=offs[1:])
-    sizes = np.diff(offs)
-    kinds, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(len(kinds), np.int32)
-    parent, out = list(range(n)), []
-    for i in range(n - 1):
-        mark[codes[offs[i] : offs[i + 1]]] = 1
-        both = np.add.reduceat(mark[codes[offs[i + 1] :]], offs[i + 1 : n] - offs[i + 1])
-        mark[codes[offs[i] : offs[i + 1]]] = 0
-        union = sizes[i] + sizes[i + 1 :] - both
-        for j in (np.flatnonzero(likeness.denominator * both >= likeness.numerator * union) + i + 1).tolist():
+    """A spanning forest of the links within one group, from exact intersections; pairs that are joined already are passed over."""
+    sizes, parent, out = np.array([len(x) for x in sets]), list(range(len(reps))), []
+    for i in range(len(reps) - 1):
+        own = _root(parent, i)
+        left = [j for j in range(i + 1, len(reps)) if _root(parent, j) != own]
+        if not left:
+            continue
+        flat = np.concatenate([sets[j] for j in left])
+        starts = np.concatenate([[0], np.cumsum(sizes[left])[:-1]])
+        hit = sets[i][np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)] == flat
+        both = np.add.reduceat(hit, starts, dtype=np.int64)
+        for x in np.flatnonzero(likeness.denominator * both >= likeness.numerator * (sizes[i] + sizes[left] - both)).tolist():
+            j = left[x]
             a, b = _root(parent, i), _root(parent, j)
             if a != b:
                 parent[a] = b
