@@ -45,7 +45,9 @@ DEPTH, GAIN, RUNS, MASS, HEAD = 6, 2.0, 1 << 21, 12.0, 1 << 18
 #: Contexts up to this length are grown on the driver, and longer ones dealt by so many symbols and one more.
 LOW = 2
 #: Runs that a task of the tree handles at once, and more only if they share their three nearest symbols.
-LOT = 1_000_000
+LOT = 500_000
+#: Counts that a counting task collects before it adds them up; twice as many distinct ones go out.
+HELD = 2_000_000
 END, SEP = 0x0A, 0x20
 CHUNK = 2 << 20
 #: Stands for the end token among word hashes.
@@ -92,17 +94,21 @@ def grams(sym: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, n) of (text, held_out): counts of symbol runs (kind 0) and of words (kind 1), combined over the task as far as memory is bounded."""
 
-    def flush(parts: list) -> Iterator[pa.RecordBatch]:
+    def merged(parts: list) -> list:
+        out = []
         for kind in (0, 1):
-            keys = np.concatenate([k for t, k, _ in parts if t == kind])
+            codes, kinds = pd.factorize(np.concatenate([k for t, k, _ in parts if t == kind]))
             n = np.concatenate([c for t, _, c in parts if t == kind])
-            codes, kinds = pd.factorize(keys)
-            total = np.bincount(codes, weights=n, minlength=len(kinds)).astype(np.int64)
+            out.append((kind, kinds, np.bincount(codes, weights=n, minlength=len(kinds))))
+        return out
+
+    def rows(parts: list) -> Iterator[pa.RecordBatch]:
+        for kind, kinds, n in merged(parts):
             for a in range(0, len(kinds), 100_000):
                 k = kinds[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(total[a : a + 100_000])], names=["kind", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + 100_000].astype(np.int64))], names=["kind", "key", "n"])
 
-    parts, held = [], 0
+    parts, held, most = [], 0, HELD
     for part in chunks(batches, "text", CHUNK):
         words = Words(part.column(0))
         sym, offs = symbols(words)
@@ -112,11 +118,15 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, kinds = pd.factorize(values)
             parts.append((kind, kinds, np.bincount(codes, weights=weights, minlength=len(kinds))))
             held += len(kinds)
-        if held > 3_000_000:
-            yield from flush(parts)
-            parts, held = [], 0
+        if held > most:
+            parts = merged(parts)
+            held = sum(len(k) for _, k, _ in parts)
+            most = held + HELD
+            if held > 2 * HELD:
+                yield from rows(parts)
+                parts, held, most = [], 0, HELD
     if parts:
-        yield from flush(parts)
+        yield from rows(parts)
 
 
 def levels_of(keys: np.ndarray, n: np.ndarray, low: int, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
