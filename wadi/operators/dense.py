@@ -1,9 +1,9 @@
 """Exact dense search over vector tables.
 
-Queries are a batch of bounded size (checked, ``QUERY_LIMIT``): it is broadcast
-and each partition of the vectors scores all of it and keeps its own best k, so
-only k rows for each query and partition are exchanged. Larger batches go in
-slices.
+Up to ``QUERY_LIMIT`` queries (checked) are broadcast, and each partition of the
+vectors scores all of them and keeps its own best k, so only k rows for each query
+and partition are exchanged. More queries go in blocks of about that size: blocks
+and vectors meet in cells of (block, share of the vectors), each its own task's work.
 """
 
 from __future__ import annotations
@@ -17,11 +17,17 @@ QUERY_LIMIT = 4096
 
 
 def similarities(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score, ...) of a bounded batch of queries (query_id, q) and vectors (vec_id, v, ...)."""
-    if queries.limit(QUERY_LIMIT + 1).count() > QUERY_LIMIT:
-        raise ValueError(f"more than {QUERY_LIMIT} queries in a batch; search them in slices")
-    batch = queries.agg(F.collect_list(F.struct("query_id", "q")).alias("batch"))  # bounded: at most QUERY_LIMIT
-    rows = vectors.join(F.broadcast(batch), F.lit(True)).withColumn("one", F.explode("batch")).drop("batch")
+    """(query_id, vec_id, score, ...) of queries (query_id, q) and vectors (vec_id, v, ...)."""
+    blocks = max(1, -(-queries.count() // QUERY_LIMIT))
+    one = F.collect_list(F.struct("query_id", "q")).alias("batch")  # bounded: about QUERY_LIMIT
+    if blocks == 1:
+        rows = vectors.join(F.broadcast(queries.agg(one)), F.lit(True))
+    else:
+        shares = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        batch = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(one).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        dealt = vectors.withColumn("share", F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        rows = dealt.join(batch, ["block", "share"]).drop("block", "share")
+    rows = rows.withColumn("one", F.explode("batch")).drop("batch")
     keep = [c for c in vectors.columns if c != "v"]
     return rows.select(F.col("one.query_id").alias("query_id"), *keep, F.round(V.dot(F.col("one.q"), F.col("v")), 6).alias("score"))
 

@@ -63,7 +63,7 @@ def _followers(spark, sf):
 
 def synonym_expand(spark, sf):
     """Up to three others of each query word that are not in the query."""
-    q = query_tokens(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 6).select("query_id", "token")
+    q = query_tokens(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")).select("query_id", "token")
     more = q.join(_followers(spark, sf), "token").join(q.select("query_id", F.col("token").alias("other")), ["query_id", "other"], "left_anti")
     w = Window.partitionBy("query_id", "token").orderBy(F.desc("n"), "other")
     return more.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("query_id", "token", "other", "place")
@@ -165,7 +165,7 @@ SQL = {
     "cosine_synonyms": """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
       p AS (SELECT a.id, b.id AS other, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) AS score FROM e a JOIN e b ON a.id <> b.id)
       SELECT id, other, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS rank FROM p WHERE score >= 0.25 QUALIFY rank <= 6""",
-    "synonym_expand": f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(({_TOK})[1:6]) AS token FROM benchmark), t AS (SELECT {_TOK} AS w FROM documents),
+    "synonym_expand": f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK}) AS token FROM benchmark), t AS (SELECT {_TOK} AS w FROM documents),
       b AS (SELECT token, other, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i])) AS token, unnest(list_transform(range(1, len(w)), lambda i: w[i + 1])) AS other FROM t) GROUP BY ALL)
       SELECT query_id, token, other, row_number() OVER (PARTITION BY query_id, token ORDER BY n DESC, other) AS place FROM q JOIN b USING (token)
       WHERE NOT EXISTS (SELECT 1 FROM q z WHERE z.query_id = q.query_id AND z.token = b.other) QUALIFY place <= 3""",

@@ -130,7 +130,7 @@ NAMES = "precision_recall_mrr attribute_accuracy head_accuracy weighted_error_ra
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 SQL = {
-    "precision_recall_mrr": """WITH q AS (SELECT vec_id AS query_id, label AS own, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 20),
+    "precision_recall_mrr": """WITH q AS (SELECT vec_id AS query_id, label AS own, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0),
       h AS (SELECT query_id, own, CASE WHEN own = label THEN 1 ELSE 0 END AS rel, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(q, CAST(embedding AS DOUBLE[])), 6) DESC, vec_id) AS rank FROM q, embeddings WHERE query_id <> vec_id QUALIFY rank <= 10),
       t AS (SELECT label AS own, count(*) - 1 AS total FROM embeddings GROUP BY label), s AS (SELECT query_id, own, sum(rel) AS found, min(CASE WHEN rel = 1 THEN rank END) AS first FROM h GROUP BY query_id, own)
       SELECT count(*) AS queries, round(avg(found / 10), 6) AS p_at_10, round(avg(found / least(total, 10)), 6) AS recall_at_10, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM s JOIN t USING (own)""",

@@ -11,8 +11,8 @@ from wadi.operators import bm25, dense, fusion
 from wadi.plans.tables import table
 
 K = 10
-#: The first words of the benchmark items are the queries, a bounded batch.
-QUERY_WORDS, VECTOR_QUERIES = 6, 20
+#: Of vectors, those with an id that this divides are the queries, against all of them.
+EVERY = 100
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def _lexical(spark, sf, k=K, scope=None):
     index = bm25.build(table(spark, sf, "documents"))
-    return bm25.search(index, bm25.query_tokens(_queries(spark, sf), QUERY_WORDS), k, scope)
+    return bm25.search(index, bm25.query_tokens(_queries(spark, sf)), k, scope)
 
 
 def bm25_topk(spark, sf):
@@ -39,7 +39,7 @@ def bm25_term_stats(spark, sf):
 
 def _vector_queries(spark, sf):
     """Vectors 0 to 19 are the queries."""
-    return table(spark, sf, "embeddings").where(F.col("vec_id") < VECTOR_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return table(spark, sf, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def _vectors(spark, sf):
@@ -81,7 +81,7 @@ def vector_blend(spark, sf):
 def _fused(spark, sf):
     """BM25 ranks beside ranks by length of match in the same documents."""
     index = bm25.build(table(spark, sf, "documents"))
-    tokens = bm25.query_tokens(_queries(spark, sf), QUERY_WORDS)
+    tokens = bm25.query_tokens(_queries(spark, sf))
     found = bm25.scores(index, tokens)
     overlap = index.postings.join(tokens, "token").groupBy("query_id", "doc_id").agg(F.countDistinct("token").cast("double").alias("score"))
     return fusion.rrf(bm25.top(overlap, 30), bm25.top(found.where("score > 0"), 30), 0.7, 0.3)
@@ -169,7 +169,7 @@ lengths AS (SELECT doc_id, len(w) AS dl FROM doc),
 totals AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths),
 raw AS (SELECT token, count(*) AS df, ln((SELECT n FROM totals) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings GROUP BY token),
 terms AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-qtok AS (SELECT query_id, token, CAST(count(*) AS DOUBLE) AS times FROM (SELECT item_id AS query_id, unnest(({_TOK})[1:6]) AS token FROM benchmark) GROUP BY query_id, token),
+qtok AS (SELECT query_id, token, CAST(count(*) AS DOUBLE) AS times FROM (SELECT item_id AS query_id, unnest({_TOK}) AS token FROM benchmark) GROUP BY query_id, token),
 scores AS (
   SELECT q.query_id, p.doc_id, round(sum(q.times * t.idf * (p.tf * 2.5 / (p.tf + 1.5 * (1 - 0.65 + 0.65 * l.dl / (SELECT avgdl FROM totals))))), 6) AS score
   FROM qtok q JOIN terms t USING (token) JOIN postings p USING (token) JOIN lengths l ON l.doc_id = p.doc_id GROUP BY q.query_id, p.doc_id
@@ -181,7 +181,7 @@ def _top(src: str, k: int, where: str = "score > 0") -> str:
 
 
 _SIM = """
-q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 20),
+q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0),
 sim AS (SELECT query_id, vec_id, label, round(list_inner_product(q, CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings)"""
 _FUSED = f"""{_INDEX},
 overlap AS (SELECT query_id, doc_id, count(DISTINCT token) AS score FROM postings JOIN qtok USING (token) GROUP BY query_id, doc_id),
