@@ -25,7 +25,7 @@ def similarities(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     else:
         shares = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         batch = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(one).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-        dealt = vectors.withColumn("share", F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        dealt = vectors.withColumn("share", F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         rows = dealt.join(batch, ["block", "share"]).drop("block", "share")
     rows = rows.withColumn("one", F.explode("batch")).drop("batch")
     keep = [c for c in vectors.columns if c != "v"]
