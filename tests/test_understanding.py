@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from wadi.operators import adjust as A
@@ -36,3 +40,8 @@ def test_blocks_of_queries_find_what_one_batch_finds(spark, monkeypatch):
     whole = sorted(map(tuple, dense.similarities(q, v).collect()))
     monkeypatch.setattr(dense, "QUERY_LIMIT", 4)
     assert sorted(map(tuple, dense.similarities(q, v).collect())) == whole and len(whole) == 15 * 60
+
+
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert not set(e.oracle_sql()) - set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)

@@ -16,11 +16,11 @@ SIGNALS = U.Signals(
     questions=("qui",), theme_nouns=("la",), connectors=("des",), connector_prefix="e", ambiguous=("le le",), book=("the the", "of the", "la"), reports=("to the", "in the", "le"), emotions=("worthless", "was"),
     book_terms=("the", "of the", "la"), report_terms=("to", "und"), legal_terms=("is that", "le"),
 )
-_LANG = F.when(F.col("lang") == "en", "english").when(F.col("lang") == "fr", "arabic").otherwise("mixed")
 
 
 def _texts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _LANG.alias("language"))
+    language = F.when(F.col("lang") == "en", "english").when(F.col("lang") == "fr", "arabic").otherwise("mixed")
+    return table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), language.alias("language"))
 
 
 def query_types(spark, sf):
