@@ -38,6 +38,27 @@ def changed(c: str, by: list[str], order: list[str]) -> Column:
     return first | ~F.col(c).eqNullSafe(before)
 
 
+def runs(df: DataFrame, by: str, order: str, value: str, block: int = 1 << 16) -> DataFrame:
+    """(by, run, value, first, last, n): runs of equal values in each group, numbered from 1 in its order.
+
+    ``order`` is a long. Rows are taken in blocks of its range, so that a group with
+    a third of all rows is many tasks; only one row a block is ranked by group.
+    """
+    rows = df.select(by, order, value).withColumn("_block", F.floor(F.col(order) / block))
+    keys = [by, "_block"]
+    rows = rows.withColumn("_new", changed(value, keys, [order])).withColumn("_run", run_ids(F.col("_new"), keys, [order]))
+    parts = rows.groupBy(*keys, "_run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    edges = parts.groupBy(*keys).agg(F.max("_run").alias("_runs"), F.min_by(value, "_run").alias("_head"), F.max_by(value, "_run").alias("_tail"))
+    w = Window.partitionBy(by).orderBy("_block")
+    starts = F.row_number().over(w) == 1
+    goes_on = (~starts & F.col("_head").eqNullSafe(F.lag("_tail").over(w))).cast("int")
+    edges = edges.withColumn("_joined", goes_on)
+    edges = edges.select(F.col(by).alias("_by"), F.col("_block").alias("_at"), (F.sum(F.col("_runs") - F.col("_joined")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_runs")).alias("_before"))
+    same = F.col(by).eqNullSafe(F.col("_by")) & F.col("_block").eqNullSafe(F.col("_at"))
+    at = parts.join(edges, same).select(by, (F.col("_before") + F.col("_run")).alias("run"), value, "first", "last", "n")
+    return at.groupBy(by, "run", value).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+
+
 def forward_fill(c: str, by: list[str], order: list[str]) -> Column:
     return F.last(c, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 

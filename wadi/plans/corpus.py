@@ -26,11 +26,18 @@ def event_passages(spark, sf):
 
 
 def cluster_having(spark, sf):
-    """Clusters of at least three documents by source and language, text from the first twelve."""
+    """Clusters of at least three documents by source and language, text from the first twelve.
+
+    Counts are aggregated; the rank is cut to twelve a task before its exchange, and texts are joined to what is left.
+    """
     d = table(spark, sf, "documents")
-    g = d.withColumn("rn", F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")))
-    first = F.array_sort(F.collect_list(F.when(F.col("rn") <= 12, F.struct("doc_id", F.substring("text", 1, 40).alias("t")))))
-    return g.groupBy("source", "lang").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id"), first.alias("f")).where("n >= 3").select("source", "lang", "n", "last_id", F.md5(F.array_join(F.transform("f", lambda x: x["t"]), " ")).alias("text_md5"))
+    keys = ["source", "lang"]
+    counts = d.groupBy(*keys).agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id")).where("n >= 3")
+    w = Window.partitionBy(*keys).orderBy("doc_id")
+    heads = d.select(*keys, "doc_id").withColumn("rn", F.row_number().over(w)).where("rn <= 12").select("doc_id", "rn")
+    texts = d.select(*keys, "doc_id", "text").join(heads, "doc_id").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("f"))
+    same = counts["source"].eqNullSafe(texts["source"]) & counts["lang"].eqNullSafe(texts["lang"])
+    return counts.join(texts, same, "left").select(counts["source"], counts["lang"], "n", "last_id", F.md5(F.array_join(F.transform("f", lambda x: x["text"]), " ")).alias("text_md5"))
 
 
 def chapter_band(spark, sf):
@@ -114,7 +121,7 @@ SQL = {
     "event_passages": f"""WITH {_passages("events", "user_id", "event_id", "event_id, value", "(12, 6)")}
       SELECT user_id, CAST(start AS INTEGER) AS start, count(*) AS n, min(event_id) AS first_event, round(sum(value), 4) AS value FROM m GROUP BY user_id, size, start""",
     "cluster_having": """WITH g AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents)
-      SELECT source, lang, count(*) AS n, max(doc_id) AS last_id, md5(string_agg(substring(text, 1, 40), ' ' ORDER BY doc_id) FILTER (WHERE rn <= 12)) AS text_md5 FROM g GROUP BY source, lang HAVING count(*) >= 3""",
+      SELECT source, lang, count(*) AS n, max(doc_id) AS last_id, md5(string_agg(text, ' ' ORDER BY doc_id) FILTER (WHERE rn <= 12)) AS text_md5 FROM g GROUP BY source, lang HAVING count(*) >= 3""",
     "chapter_band": """SELECT CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority WHEN o_orderkey % 10 = 0 THEN 'band0' ELSE 'band' || CAST(o_orderkey // 50 * 50 AS VARCHAR) END AS band, count(*) AS n FROM orders GROUP BY band""",
     "normalize_text": r"""WITH t AS (SELECT doc_id, lower(trim(translate(regexp_replace(coalesce(text, ''), '[\x{064B}-\x{0652}\x{0670}\x{06D6}-\x{06ED}\x{0640}\x{FEFF}]', '', 'g'), 'أإآٱةىؤئ', 'ااااهيءء'))) AS s FROM documents)
       SELECT doc_id, md5(s) AS md5, length(s) AS n FROM t""",

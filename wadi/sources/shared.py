@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def fresh_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder name below the shared one; a folder of its own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder name below the shared one; in local mode, where none is set, below a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="wadi-"))
         base = _own[0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,16 +107,23 @@ def interleave(frames: list[DataFrame], order: str, n: int) -> DataFrame:
 
 
 def write_resumable(df: DataFrame, path: str, key: str, transform) -> DataFrame:
-    """Appends ``transform`` of the rows whose key is not there yet; returns the whole table."""
+    """Writes ``transform`` of the rows whose key is not there yet, as one more part; returns the whole table.
+
+    A part counts once it is whole, so a run that broke off is done again and
+    never half there. Null keys are never found to be done.
+    """
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key)
-        df = df.join(done, key, "left_anti")
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    transform(df).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def parts() -> list[str]:
+        return sorted(s.getPath().getParent().toString() for s in fs.globStatus(hadoop(f"{path}/part=*/_SUCCESS")) or [])
+
+    done = parts()
+    if done:
+        df = df.join(spark.read.parquet(*done).select(key).distinct(), key, "left_anti")
+    transform(df).write.parquet(f"{path}/part={uuid.uuid4().hex}")
+    return spark.read.parquet(*parts())
 
 
 def audio_url(base: str, surah: Column, ayah: Column) -> Column:
