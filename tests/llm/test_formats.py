@@ -71,6 +71,22 @@ def test_main_text_keeps_all_sections_of_a_page():
     assert tag_paths.main_text(page) == "\n\n".join([long.strip(), long.strip(), short.strip()])
 
 
+def test_tag_paths_decide_on_sections_with_doubtful_names():
+    p = "This is a sentence of the text, with commas, and a full stop. And here comes another one, somewhat longer."
+    around = f"<article><h1>T</h1><p>{p}</p><p>{p} {p}</p>%s<p>{p} end</p></article><div class=related><p>{p} beside</p></div>"
+    plain = ["T", p, f"{p} {p}", f"{p} end"]
+    cases = [
+        (f'<section id="discussion"><h2>Discussion</h2><p>{p} part</p></section>', ["Discussion", f"{p} part"]),
+        (f'<section class="related-work"><p>{p} part</p></section>', [f"{p} part"]),
+        ('<div class="related"><ul><li><a>One more story</a></li><li><a>Other news here</a></li></ul></div>', []),
+        (f'<section id="discussion"><div class="comment"><p>{p} reader</p></div></section>', []),
+        ('<div class="share"><a>Tweet</a> <a>Mail</a></div>', []),
+        (f"<div class=comments><p>{p} reader</p></div>", []),
+    ]
+    for html, more in cases:
+        assert tag_paths.main_text(around % html).split("\n\n") == [*plain[:3], *more, plain[3]]
+
+
 def test_pages_query(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = tag_paths.extract(rows).collect()

@@ -9,7 +9,9 @@ elements of the page: the content node is the lowest container that holds nearly
 all of their text. Its blocks are the result, short ones and headings included,
 with a main heading before it. Elements that by tag, role, class or id are menus,
 headers, footers, side bars, notices, adverts, forms, scripts, styles or reader
-comments never count.
+comments never count. A few class words can be a topic as well (``discussion``,
+``related``): within an article or main element what carries one stays if the tag
+paths of at least half its text reach a share of the other content's ratio.
 
 Character references are decoded, white space within a block becomes one space,
 blocks are joined by a blank line. Pages are handled one by one in a stream.
@@ -51,6 +53,8 @@ DROPPED_WORDS = {
     "footer", "gdpr", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promotion", "recommended",
     "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget", "widgets",
 }
+#: Words that name a part of an article as often as something beside it; inside one, its tag paths decide.
+DOUBTFUL_WORDS = {"discussion", "recommended", "related", "share", "sharing", "social"}
 HEADER_WORDS = {"header", "masthead"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
@@ -59,19 +63,19 @@ SMOOTHING, SHARE, HOLDS = 1.0, 0.25, 0.85
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "dropped", "header", "weight", "depth")
+    __slots__ = ("tag", "path", "parent", "dropped", "header", "doubt", "within")
 
     def __init__(self, tag: str, label: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.path = f"{parent.path}/{label}" if parent else label
         self.dropped = parent.dropped if parent else False
         self.header = parent.header if parent else False
-        self.depth = parent.depth + 1 if parent else 0
-        self.weight = 0
+        self.doubt = parent.doubt if parent else None
+        self.within = tag in ("article", "main") or (parent.within if parent else False)
 
 
 def _open(tag: str, attributes: str, parent: Node | None) -> Node:
-    label, drop, header = tag, tag in DROPPED_TAGS, tag == "header"
+    label, drop, header, doubt = tag, tag in DROPPED_TAGS, tag == "header", False
     if attributes and tag not in ("html",):
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
@@ -80,7 +84,8 @@ def _open(tag: str, attributes: str, parent: Node | None) -> Node:
                     label = f"{tag}.{value.split()[0]}" if value.split() else tag
                 if tag not in NOT_CLASS_TESTED:
                     words = set(re.split(r"[\s_-]+", value))
-                    drop |= bool(words & DROPPED_WORDS)
+                    drop |= bool(words & DROPPED_WORDS - DOUBTFUL_WORDS)
+                    doubt |= bool(words & DOUBTFUL_WORDS)
                     header |= bool(words & HEADER_WORDS)
             elif name == "role":
                 drop |= value in DROPPED_ROLES
@@ -91,8 +96,10 @@ def _open(tag: str, attributes: str, parent: Node | None) -> Node:
             else:
                 drop |= bool(re.search(r"display\s*:\s*none", value))
     node = Node(tag, label, parent)
-    node.dropped |= drop
+    node.dropped |= drop or (doubt and not node.within)
     node.header |= header
+    if doubt and node.doubt is None:
+        node.doubt = node
     return node
 
 
@@ -203,6 +210,22 @@ def selected(found: list[tuple[str, Node]], smoothing: float = SMOOTHING, share:
     return [mean[node.path] > cut for _, node in found]
 
 
+def settled(found: list[tuple[str, Node]], share: float = SHARE) -> list[tuple[str, Node]]:
+    """The blocks without those of doubtful elements whose paths read like links and not like the content."""
+    sure = [len(t) * (1 + len(PUNCTUATION.findall(t))) for t, node in found if node.doubt is None]
+    if len(sure) == len(found):
+        return found
+    cut = share * sum(sure) / max(len(sure), 1)
+    by_path = ratios([b for b in found if b[1].doubt is not None])
+    text: dict[int, list[int]] = {}
+    for t, node in found:
+        if node.doubt is not None:
+            length, marks = by_path[node.path]
+            held = text.setdefault(id(node.doubt), [0, 0])
+            held[length * (1 + marks) >= cut] += len(t)
+    return [b for b in found if b[1].doubt is None or text[id(b[1].doubt)][1] >= text[id(b[1].doubt)][0]]
+
+
 def content_node(found: list[tuple[str, Node]], chosen: list[bool], holds: float = HOLDS) -> Node | None:
     """An article or main element that holds nearly all selected text, or else the lowest container of all of it."""
     children: dict[int, dict[int, Node]] = {}
@@ -249,6 +272,7 @@ def main_text(page: str | None) -> str:
             if not inside or node.tag not in HEADINGS:
                 continue
         found.append((text, node))
+    found = settled(found)
     if not found:
         return ""
     chosen = selected(found)
