@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wadi.plans import activity, corpus, lookup, quality, retrieval, sequences, shaping, understanding
+from wadi.plans import activity, corpus, lookup, quality, retrieval, sequences, session, shaping, understanding
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (retrieval, corpus, lookup, quality, activity, sequences, understanding, shaping):
+for _part in (retrieval, corpus, lookup, quality, activity, sequences, understanding, shaping, session):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
