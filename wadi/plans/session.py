@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from wadi.functions import text as T
 from wadi.operators import audio
+from wadi.operators import narrations as N
 from wadi.operators import session as S
 from wadi.plans.tables import table
 
+#: Stand-ins for the word lists of narrations.
+CHAINS = N.Chains(transmission=("the", "of", "and"), speech=("is", "was", "to"), prophet=("that", "with"))
 CORE, RESIDUALS = "bcdfghjklmnpqrstvwxyz", "aeiou"
 
 
@@ -63,7 +66,14 @@ def mel_features(spark, sf):
     return rows.select("vec_id", F.posexplode("m").alias("at", "row")).select("vec_id", "at", F.transform("row", lambda x: F.round(x.cast("double"), 4)).alias("features"))
 
 
-QUERIES = {f.__name__: f for f in (phoneme_chunks, refunded_seconds, stage_budgets, ngram_counts, missing_targets, since_last, hit_rates, mel_features)}
+def own_words_start(spark, sf):
+    """Where the text after an opening chain starts, for documents that open with one."""
+    words = F.split(F.btrim(F.regexp_replace("text", r"\s+", " ")), " ")
+    kinds = table(spark, sf, "documents").select("doc_id", N.word_kinds(words, CHAINS).alias("kinds"))
+    return kinds.select("doc_id", N.own_words_start(F.col("kinds"), CHAINS.gap).cast("long").alias("start")).where("start IS NOT NULL")
+
+
+QUERIES = {f.__name__: f for f in (phoneme_chunks, refunded_seconds, stage_budgets, ngram_counts, missing_targets, since_last, hit_rates, mel_features, own_words_start)}
 
 _TOK = r"list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda w: length(w) >= 3)"
 _KINDS = ", ".join(f"({i}, '{k}', {n})" for i, (k, n) in enumerate([*S.FUSION_BY_KIND.items(), ("other", S.FUSION)]))
@@ -82,5 +92,11 @@ SQL = {
       SELECT event_type, count(*) AS n, min(alias) AS first, max(alias) AS last FROM e WHERE alias NOT LIKE '\\_%' ESCAPE '\\' AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_custkey % 3 <> 0) GROUP BY event_type""",
     "since_last": """WITH l AS (SELECT user_id, max(event_id) FILTER (WHERE value > 30) AS last FROM events GROUP BY user_id)
       SELECT user_id, event_id FROM events JOIN l USING (user_id) WHERE last IS NULL OR event_id > last""",
+    "own_words_start": f"""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents WHERE text IS NOT NULL),
+      w AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, trim(unnest(ws), '{N.TRIMMED.replace("'", "''")}') AS w FROM d),
+      k AS (SELECT doc_id, i, CASE WHEN w IN {CHAINS.prophet} THEN 'p' WHEN w IN {CHAINS.transmission} THEN 't' WHEN w IN {CHAINS.speech} THEN 's' ELSE 'o' END AS k FROM w),
+      x AS (SELECT *, coalesce(max(CASE WHEN k = 't' THEN i END) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS p, lead(k) OVER b AS after, lag(k) OVER b AS before FROM k WINDOW b AS (PARTITION BY doc_id ORDER BY i)),
+      e AS (SELECT *, CASE WHEN k = 'p' THEN CASE WHEN before IN ('t', 's') THEN i - 1 WHEN p + 1 < i THEN p + 1 ELSE i END WHEN k = 's' AND p >= 0 AND after IS DISTINCT FROM 't' THEN i WHEN p >= 0 AND i - p > 12 THEN p + 1 END AS s FROM x)
+      SELECT doc_id, coalesce(arg_min(s, i) FILTER (WHERE s IS NOT NULL), max(i) FILTER (WHERE k = 't') + 1) AS start FROM e GROUP BY doc_id HAVING bool_or(i < 3 AND k = 't')""",
     "hit_rates": "SELECT event_type, count(*) AS requests, count(*) - count(DISTINCT user_id) AS hits, round((count(*) - count(DISTINCT user_id)) / count(*), 6) AS rate FROM events GROUP BY event_type",
 }
