@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wadi.functions import phonetics as P
 from wadi.operators import concepts as C
 from wadi.plans.tables import table
 
@@ -63,7 +64,18 @@ def balanced_concepts(spark, sf):
     return C.balance_concepts(C.tag_concepts(*_ranked(spark, sf)), ("first", "second"), 4, 2, 0.15).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (attribute_names, alias_keys, attached_concepts, contrasted_concepts, expanded_terms, concept_tags, promoted_concepts, balanced_concepts)}
+#: Letters of the driver's prose stand for letters and signs that the rules are about.
+LATIN = "abcdefghilmnopqrstuvxéèê.,"
+SCRIPT = "".join((P.FATHA, P.BAA, P.SUKUN, P.SHADDA, P.KASRA, P.TAA_MARBOOTA, P.HAMZAS[1], P.HAA, P.DAMMA, P.LAM, P.MEEM, P.NOON, P.ALIF, P.YAA, P.MAKSORA, P.WAW, P.FATH2, P.DAM2, P.SMALL_ALIF, P.SMALL_WAW, P.WASL, P.KASR2, P.SMALL_MEEM, P.MADD, P.ROUND_ZERO, P.LONG_ZERO))
+GROUPS = tuple(g for g in P.RULES if g not in ("mid_wasl", "divine_name"))  # these look around, which the SQL's expressions cannot
+
+
+def phonetic_texts(spark, sf):
+    d = table(spark, sf, "documents").where(F.col("text").isNotNull())
+    return d.select("doc_id", F.md5(P.phonetic(F.translate(F.lower("text"), LATIN, SCRIPT), GROUPS)).alias("phonetic_md5"))
+
+
+QUERIES = {f.__name__: f for f in (phonetic_texts, attribute_names, alias_keys, attached_concepts, contrasted_concepts, expanded_terms, concept_tags, promoted_concepts, balanced_concepts)}
 
 
 def _values(rows) -> str:
@@ -86,7 +98,11 @@ _TAGS = """t AS (SELECT l_orderkey AS query_id, l_linenumber::BIGINT AS doc_id,
   g AS (SELECT query_id, doc_id, rank, score, CASE WHEN rank <= {0} AND greatest(a, b) >= 0.3 AND greatest(a, b) >= 1.3 * least(a, b) THEN CASE WHEN a >= b THEN 'first' ELSE 'second' END END AS concept FROM t)"""
 _MOVE = """SELECT * EXCLUDE (spot), CASE WHEN spot > 3 AND side >= 0.15 THEN CASE WHEN r = spot THEN 3 WHEN r BETWEEN 3 AND spot - 1 THEN r + 1 ELSE r END ELSE r END AS moved
   FROM (SELECT *, min(r) FILTER (WHERE concept = '{0}') OVER q AS spot, arg_min(score, r) FILTER (WHERE concept = '{0}') OVER q AS side FROM {1} WINDOW q AS (PARTITION BY query_id))"""
+_PHONETIC = f"translate(lower(text), '{LATIN}', '{SCRIPT}')"
+for _pattern, _new in [row for g in GROUPS for row in P.RULES[g]]:
+    _PHONETIC = f"regexp_replace({_PHONETIC}, '{_pattern}', '{_new}', 'g')"
 SQL = {
+    "phonetic_texts": f"SELECT doc_id, md5({_PHONETIC}) AS phonetic_md5 FROM documents WHERE text IS NOT NULL",
     "attribute_names": f"""WITH l(i, head, token, name) AS (VALUES {_values((i, *x) for i, x in enumerate(C.LABELS))}),
       o AS (SELECT h.head, CASE WHEN o_custkey % 5 = 0 THEN o_orderstatus ELSE k.token END AS token FROM orders JOIN l h ON h.i = o_orderkey % {len(C.LABELS)} JOIN l k ON k.i = (o_orderkey + o_custkey % 2) % {len(C.LABELS)})
       SELECT o.head, coalesce(l.name, o.token) AS label, count(*) AS n FROM o LEFT JOIN l ON l.head = o.head AND l.token = o.token GROUP BY ALL""",
