@@ -62,7 +62,9 @@ def brute_expand(text, lookup, most):
     return out + text[cursor:]
 
 
-def test_expand_terms_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast_rows", [C.LOOKUP_ROWS, 0])
+def test_expand_terms_against_brute_force(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(C, "LOOKUP_ROWS", broadcast_rows)
     lookup = {"sabr": "الصبر", "battle of badr": "غزوة بدر", "badr": "بدر", "prophet": "{match} (نبي)", "al bakara": "البقرة"}
     draw = random.Random(5)
     parts = ["sabr", "Battle", "of", "badr", "prophets", "al", "Bakara", "x1", "é", "qur’an"]

@@ -11,6 +11,9 @@ from wadi.functions import text as T
 
 Words = tuple[str, ...]
 
+#: A lookup of up to so many keys is broadcast; a larger one is merged by key.
+LOOKUP_ROWS = 100_000
+
 #: Marks written for one apostrophe, and a word of a transliteration.
 APOSTROPHES = "['’`ʿʾ]"
 LATIN_WORD = "[A-Za-z][A-Za-z'’`ʿʾ]*"
@@ -128,6 +131,7 @@ def expand_terms(rows: DataFrame, text: str, lookup: DataFrame, most_words: int)
     singular = F.when(F.col("key").endswith("s") & (F.length("key") > 4), F.expr("left(key, length(key) - 1)"))
     forms = keyed.select("_row", "i", "n", "span", F.posexplode(F.array_compact(F.array("key", singular))).alias("form", "key"))
     match = F.struct("i", (-F.col("n")).alias("less"), "form", "span", "replacement")
+    known = F.broadcast(known) if known.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else known.hint("merge")
     found = forms.join(known, "key").groupBy("_row").agg(F.sort_array(F.collect_list(match)).alias("_found"))
     out = cut.join(found, "_row", "left")
 
