@@ -5,6 +5,7 @@ from __future__ import annotations
 from wadi.llm.chosen_path import OP2_SQL, op2_near_dedup
 from wadi.llm.chat import OP7_SQL, op7_chat
 from wadi.llm.decontaminate import op1_decontaminate
+from wadi.llm.fill_middle import OP11_SQL, op11_fill_middle
 from wadi.llm.licenses import OP3_SQL, op3_licenses
 from wadi.llm.packing import op8_packing
 from wadi.llm.suffix_tree import op10_suffix_tree
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_suffix_tree": op10_suffix_tree,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 SQL: dict[str, str] = {
@@ -31,4 +33,5 @@ SQL: dict[str, str] = {
     "op3_licenses": OP3_SQL,
     "op7_chat": OP7_SQL,
     "op9_warc": OP9_SQL,
+    "op11_fill_middle": OP11_SQL,
 }
