@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wadi.llm.chosen_path import OP2_SQL, op2_near_dedup
 from wadi.llm.chat import OP7_SQL, op7_chat
+from wadi.llm.chosen_path import OP2_SQL, op2_near_dedup
 from wadi.llm.decontaminate import op1_decontaminate
 from wadi.llm.fill_middle import OP11_SQL, op11_fill_middle
 from wadi.llm.licenses import OP3_SQL, op3_licenses
 from wadi.llm.packing import op8_packing
+from wadi.llm.simhash import op12_simhash
 from wadi.llm.suffix_tree import op10_suffix_tree
 from wadi.llm.tag_paths import op6_tag_paths
 from wadi.llm.toxicity import op5_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_suffix_tree": op10_suffix_tree,
     "op11_fill_middle": op11_fill_middle,
+    "op12_simhash": op12_simhash,
 }
 
 SQL: dict[str, str] = {
