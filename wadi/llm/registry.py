@@ -9,6 +9,7 @@ from wadi.llm.fill_middle import OP11_SQL, op11_fill_middle
 from wadi.llm.licenses import OP3_SQL, op3_licenses
 from wadi.llm.packing import op8_packing
 from wadi.llm.simhash import op12_simhash
+from wadi.llm.spelling import op13_spelling
 from wadi.llm.suffix_tree import op10_suffix_tree
 from wadi.llm.tag_paths import op6_tag_paths
 from wadi.llm.toxicity import op5_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_suffix_tree": op10_suffix_tree,
     "op11_fill_middle": op11_fill_middle,
     "op12_simhash": op12_simhash,
+    "op13_spelling": op13_spelling,
 }
 
 SQL: dict[str, str] = {
