@@ -189,3 +189,10 @@ def test_resumable_writes(spark, tmp_path):
     tables.write_resumable(spark.createDataFrame([(1,), (2,)], "x long"), path, "x", double)
     got = tables.write_resumable(spark.createDataFrame([(2,), (3,)], "x long"), path, "x", double)
     assert seen == [2, 1] and sorted(tuple(r) for r in got.collect()) == [(1, 2), (2, 4), (3, 6)]
+
+
+def test_best_start_keeps_the_earliest_of_equals():
+    from wadi.operators.sequences import best_start
+
+    assert best_start(["ab", "cd", "ab", "xy"], "ab", 3) == (0, 0.0)
+    assert best_start(["ab", "cd"], "cd", 1) == (1, 0.0)
