@@ -35,3 +35,11 @@ def test_chain_against_plain_regular_expressions(spark):
 
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", P.phonetic(F.col("t")).alias("p")).collect()
     assert {r["i"]: r["p"] for r in rows} == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("letter, hidden", [("ت", True), ("ظ", True), ("د", True), ("ط", True), ("ة", False), ("ع", False)])
+def test_letters_that_hide_a_nasal(spark, letter, hidden):
+    """Tanween with the low meem: before taa and thah as before daal, not before taa marboota or ayn."""
+    text = f"مًۭ {letter}"
+    want = f"مَن {letter}" if hidden else f"مَنْۭ {letter}"
+    assert spark.range(1).select(P.phonetic(F.lit(text), ("nasal_merging",))).first()[0] == want

@@ -14,7 +14,7 @@ LAM, NOON, MEEM, HAA, WAW, MAKSORA, YAA = "ل", "ن", "م", "ه", "و", "ى", "
 FATH2, DAM2, KASR2, FATHA, DAMMA, KASRA, SHADDA, SUKUN, MADD = "ً", "ٌ", "ٍ", "َ", "ُ", "ِ", "ّ", "ْ", "ٓ"
 WASL, KASHIDA, SMALL_ALIF, SMALL_WAW, SMALL_YAA_LINK, SMALL_YAA, SMALL_NOON = "ٱ", "ـ", "ٰ", "ۥ", "ۦ", "ۧ", "ۨ"
 ROUND_ZERO, LONG_ZERO, SMALL_MEEM, LOW_MEEM = "۟", "۠", "ۢ", "ۭ"
-HIDING, MERGING = "صذثكجشقسدطزفةضط", "يرملون"
+HIDING, MERGING = "تثجدذزسشصضطظفقك", "يرملون"
 CONSONANTS = "بتثجحخدذرزسشصضطظعغفقكلمنه"
 ECHOED, ECHO = "قطبجد", "\u0687"
 VOWELS = FATHA + DAMMA + KASRA

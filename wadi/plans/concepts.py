@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wadi.functions import phonetics as P
 from wadi.operators import concepts as C
+from wadi.operators import rewriting as R
 from wadi.plans.tables import table
 
 #: Phrases of the driver's invented prose stand for the lists of a real corpus.
@@ -75,7 +76,19 @@ def phonetic_texts(spark, sf):
     return d.select("doc_id", F.md5(P.phonetic(F.translate(F.lower("text"), LATIN, SCRIPT), GROUPS)).alias("phonetic_md5"))
 
 
-QUERIES = {f.__name__: f for f in (phonetic_texts, attribute_names, alias_keys, attached_concepts, contrasted_concepts, expanded_terms, concept_tags, promoted_concepts, balanced_concepts)}
+#: Rules whose map the SQL can tell by counting; here f and g stand for kashida and an echoed letter too.
+MAPPED = tuple(row for g in ("hamza", "kashida", "echo", "doubled") for row in P.RULES[g])
+MAPPED_SCRIPT = SCRIPT.translate({ord(P.TAA_MARBOOTA): P.KASHIDA, ord(P.NOON): "ق"})
+
+
+def phonetic_maps(spark, sf):
+    """Code points of every text that are not copied as one, with the interval that stands for them after the rules."""
+    d = table(spark, sf, "documents").select("doc_id", F.translate(F.lower("text"), LATIN, MAPPED_SCRIPT).alias("t"))
+    rows = R.char_rows(R.with_map(d, "t", MAPPED, ["doc_id"]), ["doc_id"])
+    return rows.where(F.col("deleted") | (F.col("end") - F.col("start") != 1)).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("place", "start", "end")), "deleted")
+
+
+QUERIES = {f.__name__: f for f in (phonetic_texts, phonetic_maps, attribute_names, alias_keys, attached_concepts, contrasted_concepts, expanded_terms, concept_tags, promoted_concepts, balanced_concepts)}
 
 
 def _values(rows) -> str:
@@ -98,11 +111,69 @@ _TAGS = """t AS (SELECT l_orderkey AS query_id, l_linenumber::BIGINT AS doc_id,
   g AS (SELECT query_id, doc_id, rank, score, CASE WHEN rank <= {0} AND greatest(a, b) >= 0.3 AND greatest(a, b) >= 1.3 * least(a, b) THEN CASE WHEN a >= b THEN 'first' ELSE 'second' END END AS concept FROM t)"""
 _MOVE = """SELECT * EXCLUDE (spot), CASE WHEN spot > 3 AND side >= 0.15 THEN CASE WHEN r = spot THEN 3 WHEN r BETWEEN 3 AND spot - 1 THEN r + 1 ELSE r END ELSE r END AS moved
   FROM (SELECT *, min(r) FILTER (WHERE concept = '{0}') OVER q AS spot, arg_min(score, r) FILTER (WHERE concept = '{0}') OVER q AS side FROM {1} WINDOW q AS (PARTITION BY query_id))"""
+# The rules of ``phonetic_texts`` in plain code points, apart from the library's names.
+_PLAIN_RULES = (
+    ('(^.)\u0652', '\\1\u0650'),
+    ('((?:\u064b\u06ed|\u064b\u06e2|\u064b))\u0649', '\\1'),
+    ('(\u064e)\u0649( |$)', '\\1\u0627\\2'),
+    ('\u0649\u0670', '\u0627'),
+    ('\u0650\u0649', '\u0650\u064a'),
+    ('\u0649([\u064e\u064f\u0650\u0652\u0651\u064c\u0653])', '\u064a\\1'),
+    ('[\u0621\u0623\u0625\u0624\u0626\u0654]', '\u0621'),
+    ('([\u0621\u0646\u064a\u062a]\u064f\u062d\u0652\u064a\u0650)( |$)', '\\1\u064a\\2'),
+    ('\u0640', ''),
+    ('(.)\u06df', ''),
+    ('\u0627\u06e0 ', ' '),
+    ('\u0627\u06e0$', '\u0627'),
+    ('((?:\u064b\u06ed|\u064b\u06e2|\u064b))\u0627( |$)', '\\1\\2'),
+    ('(?:\u064b\u06ed|\u064b\u06e2|\u064b)$', '\u064e\u0627'),
+    ('\u0648\u0670', '\u0627'),
+    ('\u0670', '\u0627'),
+    ('\u06e8', '\u0646'),
+    ('\u0647\u064f\u06e5\u0653?$', '\u0647\u064f'),
+    ('\u06e5', '\u0648'),
+    ('\u06e7', '\u06e6'),
+    ('\u0647\u0650\u06e6\u0653?$', '\u0647\u0650'),
+    ('\u06e6', '\u064a'),
+    ('(?:[\u064e\u064f\u0650\u0653]|[\u064c\u064d](?:\u06ed|\u06e2)?)$', ''),
+    ('\u0629$', '\u0647'),
+    ('\u0629', '\u062a'),
+    ('\u0646\u06e2', '\u0645'),
+    ('\u064b.( \u0628)', '\u064e\u0645\\1'),
+    ('\u064c.( \u0628)', '\u064f\u0645\\1'),
+    ('\u064d.( \u0628)', '\u0650\u0645\\1'),
+    ('\u064b.( [\u062a\u062b\u062c\u062f\u0630\u0632\u0633\u0634\u0635\u0636\u0637\u0638\u0641\u0642\u0643\u064a\u0631\u0645\u0644\u0648\u0646])', '\u064e\u0646\\1'),
+    ('\u064c.( [\u062a\u062b\u062c\u062f\u0630\u0632\u0633\u0634\u0635\u0636\u0637\u0638\u0641\u0642\u0643\u064a\u0631\u0645\u0644\u0648\u0646])', '\u064f\u0646\\1'),
+    ('\u064d.( [\u062a\u062b\u062c\u062f\u0630\u0632\u0633\u0634\u0635\u0636\u0637\u0638\u0641\u0642\u0643\u064a\u0631\u0645\u0644\u0648\u0646])', '\u0650\u0646\\1'),
+    ('\u064b', '\u064e\u0646\u0652'),
+    ('\u064c', '\u064f\u0646\u0652'),
+    ('\u064d', '\u0650\u0646\u0652'),
+    ('(?:[\u064e\u064f]\u064a|[\u064e\u0650]\u0648|[\u0649\u0628\u062a\u062b\u062c\u062d\u062e\u062f\u0630\u0631\u0632\u0633\u0634\u0635\u0636\u0637\u0638\u0639\u063a\u0641\u0642\u0643\u0644\u0645\u0646\u0647]) ?([\u0649\u0628\u062a\u062b\u062c\u062d\u062e\u062f\u0630\u0631\u0632\u0633\u0634\u0635\u0636\u0637\u0638\u0639\u063a\u0641\u0642\u0643\u0644\u0645\u0646\u0647\u0648\u064a]\u0651)', '\\1'),
+    ('(\u0646)\u0652( .[\u0652\u0651])', '\\1\u0650\\2'),
+    ('\u064e\u0627( .[\u0652\u0651])', '\u064e\\1'),
+    ('\u064f\u0648( .[\u0652\u0651])', '\u064f\\1'),
+    ('\u0650\u064a( .[\u0652\u0651])', '\u0650\\1'),
+    ('\u0627\u0653( .[\u0652\u0651])', '\u064e\\1'),
+    ('\u0648\u0653( .[\u0652\u0651])', '\u064f\\1'),
+    ('\u064a\u0653( .[\u0652\u0651])', '\u0650\\1'),
+    ('(^.)\u0651', '\\1'),
+    ('([\u0642\u0637\u0628\u062c\u062f](?:\u0651$|\u0652|$))', '\\1\u0687'),
+    ('(.)\u0651', '\\1\\1'),
+    ('\u0652', ''),
+)
+_ECHOED = "('\u0642', '\u0637', '\u0628', '\u062c', '\u062f')"
 _PHONETIC = f"translate(lower(text), '{LATIN}', '{SCRIPT}')"
-for _pattern, _new in [row for g in GROUPS for row in P.RULES[g]]:
+for _pattern, _new in _PLAIN_RULES:
     _PHONETIC = f"regexp_replace({_PHONETIC}, '{_pattern}', '{_new}', 'g')"
 SQL = {
     "phonetic_texts": f"SELECT doc_id, md5({_PHONETIC}) AS phonetic_md5 FROM documents WHERE text IS NOT NULL",
+    "phonetic_maps": f"""WITH c AS (SELECT doc_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) - 1 AS place
+        FROM (SELECT doc_id, translate(lower(text), '{LATIN}', '{MAPPED_SCRIPT}') AS t FROM documents WHERE text <> '')),
+      k AS (SELECT *, lag(c) OVER w AS one, lag(c, 2) OVER w AS two, lead(c) OVER w IS NULL AS last FROM c WHERE c <> '\u0640' WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+      n AS (SELECT c.doc_id, c.place, CASE WHEN c.c IN ('\u0640', '\u0652') OR c.c = '\u0651' AND one = '\u0652' AND coalesce(two NOT IN {_ECHOED}, true) THEN 0 ELSE 1 END AS own, CASE WHEN one = '\u0652' AND two IN {_ECHOED} OR last AND k.c = chr(10) AND (one IN {_ECHOED} OR one = '\u0651' AND two IN {_ECHOED}) THEN 1 ELSE 0 END AS echo
+        FROM c LEFT JOIN k USING (doc_id, place)),
+      p AS (SELECT *, sum(own + echo) OVER (PARTITION BY doc_id ORDER BY place) AS upto FROM n)
+      SELECT doc_id, place, CAST(upto - own - echo AS BIGINT) AS start, CAST(upto AS BIGINT) AS end, own + echo = 0 AS deleted FROM p WHERE own + echo <> 1""",
     "attribute_names": f"""WITH l(i, head, token, name) AS (VALUES {_values((i, *x) for i, x in enumerate(C.LABELS))}),
       o AS (SELECT h.head, CASE WHEN o_custkey % 5 = 0 THEN o_orderstatus ELSE k.token END AS token FROM orders JOIN l h ON h.i = o_orderkey % {len(C.LABELS)} JOIN l k ON k.i = (o_orderkey + o_custkey % 2) % {len(C.LABELS)})
       SELECT o.head, coalesce(l.name, o.token) AS label, count(*) AS n FROM o LEFT JOIN l ON l.head = o.head AND l.token = o.token GROUP BY ALL""",
