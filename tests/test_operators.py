@@ -196,3 +196,14 @@ def test_best_start_keeps_the_earliest_of_equals():
 
     assert best_start(["ab", "cd", "ab", "xy"], "ab", 3) == (0, 0.0)
     assert best_start(["ab", "cd"], "cd", 1) == (1, 0.0)
+
+
+def test_few_edits_are_word_edits():
+    import random
+
+    from wadi.operators.sequences import few_edits, word_edits
+
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = (["".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 8))] for _ in "xy")
+        assert few_edits(a, b) == word_edits(a, b)

@@ -180,49 +180,43 @@ class AdaptiveWindows(StatefulProcessor):
         parts = [np.frombuffer(r[0], np.float32) for r in self.sound.get()] if self.sound.exists() else []
         return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
-    def _store(self, carry: Carry, held: int, number: int) -> None:
-        self.carry.update((carry.left.tobytes(), carry.grown, list(carry.tail), carry.done, held, number))
-
     def _rows(self, key: tuple, commits: list[Commit], number: int) -> pd.DataFrame:
         rows = [(key[0], number + i, c.start, c.end, c.reason, c.recovered, c.symbols, c.frames) for i, c in enumerate(commits)]
         return pd.DataFrame(rows, columns=["key", "number", "start", "end", "reason", "recovered", "symbols", "frames"])
 
-    def _end(self, key: tuple) -> Iterator[pd.DataFrame]:
-        carry, _, number = self._load()
-        commits = carry.flush(self._chunk(), self.recognise, self.settings)
-        self.sound.clear()
-        self.carry.clear()
-        self._forget_timers()
-        if commits:
-            yield self._rows(key, commits, number)
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = self.settings
         carry, held, number = self._load()
+        fresh: list[np.ndarray] = []  # blocks that the state does not have yet
         latest = None
         for r in pd.concat(list(rows)).sort_values("seq").itertuples():
             block = np.asarray(r.samples, np.float32) if r.samples is not None else np.zeros(0, np.float32)
             if len(block):
-                self.sound.appendValue((block.tobytes(),))
+                fresh.append(block)
                 held += len(block)
             # the blocks are read only when they can fill the window that is due
             if held >= min(s.base + carry.grown * s.expansion, s.full) + s.look:
-                commits, left = carry.decode(self._chunk(), self.recognise, s)
-                if len(left) < held:
-                    self.sound.clear()
-                    if len(left):
-                        self.sound.put([(left.tobytes(),)])
-                    held = len(left)
+                commits, left = carry.decode(np.concatenate([self._chunk(), *fresh]), self.recognise, s)
+                self.sound.clear()
+                fresh, held = [left] if len(left) else [], len(left)
                 if commits:
                     yield self._rows(key, commits, number)
                     number += len(commits)
-            self._store(carry, held, number)
             if r.last:
-                yield from self._end(key)
-                carry, held, number = self._load()
-            latest = None if r.last else max(latest or 0, r.ms)
-        if latest is not None:
-            self._forget_timers()
+                commits = carry.flush(np.concatenate([self._chunk(), *fresh]), self.recognise, s)
+                if commits:
+                    yield self._rows(key, commits, number)
+                self.sound.clear()
+                carry, held, number, fresh, latest = Carry(), 0, 0, [], None
+            else:
+                latest = max(latest or 0, r.ms)
+        self._forget_timers()
+        if fresh:
+            self.sound.appendList([(block.tobytes(),) for block in fresh])
+        if latest is None:
+            self.carry.clear()
+        else:
+            self.carry.update((carry.left.tobytes(), carry.grown, list(carry.tail), carry.done, held, number))
             self.handle.registerTimer(latest + self.gap_ms)
 
     def _forget_timers(self) -> None:
@@ -230,7 +224,12 @@ class AdaptiveWindows(StatefulProcessor):
             self.handle.deleteTimer(at)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._end(key)
+        carry, _, number = self._load()
+        commits = carry.flush(self._chunk(), self.recognise, self.settings)
+        self.sound.clear()
+        self.carry.clear()
+        if commits:
+            yield self._rows(key, commits, number)
 
     def close(self) -> None:
         pass
