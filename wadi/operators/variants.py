@@ -130,12 +130,11 @@ def spelling_variants(most: int = MOST, depth: int = DEPTH, lengthen: bool = Tru
     return SpellingVariants
 
 
-def first_wins(names: DataFrame, function, key: str = "name", value: str = "id") -> DataFrame:
-    """(spelling, ``value``, cost): names and their variants; a spelling of several names belongs to a name of its own spelling, else the cheapest, else the least value."""
-    own = names.select(F.lower(F.trim(key)).alias("spelling"), F.col(value), F.lit(0).alias("made"), F.lit(0).alias("cost"))
-    made = names.select(F.col(key).alias("_name"), F.col(value)).lateralJoin(function(F.col("_name").outer())).select(F.col("variant").alias("spelling"), F.col(value), F.lit(1).alias("made"), "cost")
-    best = own.unionByName(made).where("spelling <> ''").groupBy("spelling").agg(F.min(F.struct("made", "cost", value)).alias("m"))
-    return best.select("spelling", F.col(f"m.{value}").alias(value), F.col("m.cost").alias("cost"))
+def first_wins(names: DataFrame, made: DataFrame, value: str = "id") -> DataFrame:
+    """(spelling, ``value``, made): names (spelling, ``value``) and variants made of them; a spelling is its own name's before a variant's, then the least value's."""
+    both = names.select("spelling", value, F.lit(False).alias("made")).unionByName(made.select("spelling", value, F.lit(True).alias("made")))
+    best = both.where("spelling <> ''").groupBy("spelling").agg(F.min(F.struct("made", value)).alias("m"))
+    return best.select("spelling", F.col(f"m.{value}").alias(value), F.col("m.made").alias("made"))
 
 
 def deletions(word: Column) -> Column:
