@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wadi.functions import text as T
-from wadi.operators import pairs
+from wadi.operators import intervals, pairs
 from wadi.operators.bm25 import query_tokens
 from wadi.plans.corpus import _TOK, _SLIDING
 from wadi.plans.corpus import sliding_passages as _passages
@@ -40,6 +40,13 @@ def interval_overlap(spark, sf):
     return pairs.overlaps(o, "o_custkey", "o_orderkey", "s", "e", 40 * 86_400)
 
 
+def chosen_intervals(spark, sf):
+    """Of each customer's orders, taken by price, those whose 30 days meet none taken before."""
+    day = F.unix_date(F.to_date("o_orderdate"))
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", day.alias("s"), (day + 30).alias("e"), F.col("o_totalprice").alias("score"))
+    return intervals.greedy(o, ["o_custkey"], "s", "e", "score", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
 def membership_join(spark, sf):
     """Turns joined to the passages that hold them."""
     from wadi.operators.windows import sliding_passages as windows
@@ -145,7 +152,7 @@ def equi_join_agg(spark, sf):
     return li.join(o, "l_orderkey").join(c, "c_custkey").groupBy("c_mktsegment", "year").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-QUERIES = {n: globals()[n] for n in "near_dup_pairs near_dup_classes containment_benchmark interval_overlap membership_join cosine_synonyms synonym_expand fuzzy_name_match labels_anti_semi alias_match gloss_subset trigger_expand semi_pages editions_left equi_join_agg".split()}
+QUERIES = {n: globals()[n] for n in "near_dup_pairs near_dup_classes containment_benchmark interval_overlap chosen_intervals membership_join cosine_synonyms synonym_expand fuzzy_name_match labels_anti_semi alias_match gloss_subset trigger_expand semi_pages editions_left equi_join_agg".split()}
 
 _Q = lambda xs: ", ".join(f"('{x}')" for x in xs)
 SQL = {
@@ -159,6 +166,10 @@ SQL = {
       SELECT doc_id, item_id, round(c / n, 6) AS share FROM m WHERE c >= 0.9 * n""",
     "interval_overlap": """SELECT x.o_custkey, x.o_orderkey AS a, y.o_orderkey AS b FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey
       AND x.o_orderdate <= y.o_orderdate + INTERVAL 30 DAY AND y.o_orderdate <= x.o_orderdate + INTERVAL 30 DAY""",
+    "chosen_intervals": """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders),
+      g AS (SELECT o_custkey, 1::BIGINT AS r, [s] AS kept, o_orderkey AS taken FROM o WHERE r = 1 UNION ALL
+        SELECT o.o_custkey, o.r, CASE WHEN len(list_filter(kept, lambda x: abs(x - s) <= 30)) = 0 THEN list_append(kept, s) ELSE kept END, CASE WHEN len(list_filter(kept, lambda x: abs(x - s) <= 30)) = 0 THEN o_orderkey END FROM g JOIN o ON o.o_custkey = g.o_custkey AND o.r = g.r + 1)
+      SELECT o_custkey, taken AS o_orderkey FROM g WHERE taken IS NOT NULL""",
     "membership_join": """WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rn, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations),
       s AS (SELECT DISTINCT conv_id, total, unnest(range(0, total)) AS start FROM r WHERE total >= 3), m AS (SELECT r.* FROM s JOIN r ON r.conv_id = s.conv_id AND r.rn >= s.start AND r.rn < s.start + 3 WHERE least(3, s.total - s.start) >= 2)
       SELECT role, count(*) AS held, count(DISTINCT (conv_id, turn)) AS turns FROM m GROUP BY role""",

@@ -9,6 +9,7 @@ from wadi.functions import text as T
 from wadi.functions import vectors as V
 from wadi.operators import bm25, dense, fusion
 from wadi.plans.tables import table
+from wadi.sources.shared import folder_of
 
 K = 10
 #: Of vectors, those with an id that this divides are the queries, against all of them.
@@ -19,9 +20,14 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _index(spark, sf):
+    """The index of the documents, built when it is missing."""
+    docs = table(spark, sf, "documents")
+    return bm25.open_index(docs, folder_of(docs, "bm25"))
+
+
 def _lexical(spark, sf, k=K, scope=None):
-    index = bm25.build(table(spark, sf, "documents"))
-    return bm25.search(index, bm25.query_tokens(_queries(spark, sf)), k, scope)
+    return bm25.search(_index(spark, sf), bm25.query_tokens(_queries(spark, sf)), k, scope)
 
 
 def bm25_topk(spark, sf):
@@ -34,11 +40,11 @@ def bm25_scoped_topk(spark, sf):
 
 
 def bm25_term_stats(spark, sf):
-    return bm25.build(table(spark, sf, "documents")).terms.select("token", "df", F.round("idf", 9).alias("idf"))
+    return _index(spark, sf).terms.select("token", "df", F.round("idf", 9).alias("idf"))
 
 
 def _vector_queries(spark, sf):
-    """Vectors 0 to 19 are the queries."""
+    """Every hundredth vector is a query."""
     return table(spark, sf, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
@@ -80,11 +86,8 @@ def vector_blend(spark, sf):
 
 def _fused(spark, sf):
     """BM25 ranks beside ranks by length of match in the same documents."""
-    index = bm25.build(table(spark, sf, "documents"))
-    tokens = bm25.query_tokens(_queries(spark, sf))
-    found = bm25.scores(index, tokens)
-    overlap = index.postings.join(tokens, "token").groupBy("query_id", "doc_id").agg(F.countDistinct("token").cast("double").alias("score"))
-    return fusion.rrf(bm25.top(overlap, 30), bm25.top(found.where("score > 0"), 30), 0.7, 0.3)
+    index, tokens = _index(spark, sf), bm25.query_tokens(_queries(spark, sf))
+    return fusion.rrf(bm25.search_overlap(index, tokens, 30), bm25.search(index, tokens, 30), 0.7, 0.3)
 
 
 def rrf_fusion(spark, sf):
@@ -168,7 +171,8 @@ postings AS (SELECT token, doc_id, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT d
 lengths AS (SELECT doc_id, len(w) AS dl FROM doc),
 totals AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths),
 raw AS (SELECT token, count(*) AS df, ln((SELECT n FROM totals) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings GROUP BY token),
-terms AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+mean AS (SELECT avg(raw) AS mean FROM raw),
+terms AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw CROSS JOIN mean),
 qtok AS (SELECT query_id, token, CAST(count(*) AS DOUBLE) AS times FROM (SELECT item_id AS query_id, unnest({_TOK}) AS token FROM benchmark) GROUP BY query_id, token),
 scores AS (
   SELECT q.query_id, p.doc_id, round(sum(q.times * t.idf * (p.tf * 2.5 / (p.tf + 1.5 * (1 - 0.65 + 0.65 * l.dl / (SELECT avgdl FROM totals))))), 6) AS score
