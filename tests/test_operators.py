@@ -207,3 +207,18 @@ def test_few_edits_are_word_edits():
     for _ in range(300):
         a, b = (["".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 8))] for _ in "xy")
         assert few_edits(a, b) == word_edits(a, b)
+
+
+def test_contained_against_brute_force(spark):
+    import random
+
+    from wadi.operators import pairs
+
+    rng = random.Random(8)
+    draw = lambda n: [rng.choice("abcdefghijklmnop") * 3 for _ in range(n)]
+    docs, items = {i: draw(rng.randint(0, 14)) for i in range(80)}, {i: draw(rng.randint(0, 8)) for i in range(40)}
+    table = lambda rows, name: spark.createDataFrame(list(rows.items()), f"{name} int, words array<string>")
+    for share in (0.5, 0.75, 1.0):
+        want = {(i, d, len(set(w) & set(x)), len(set(w))) for i, w in items.items() for d, x in docs.items() if w and len(set(w) & set(x)) >= share * len(set(w))}
+        got = {(r["item"], r["doc"], r["both"], r["n"]) for r in pairs.contained(table(items, "item"), table(docs, "doc"), share).collect()}
+        assert got == want

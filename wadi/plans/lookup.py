@@ -28,11 +28,10 @@ def near_dup_classes(spark, sf):
 
 def containment_benchmark(spark, sf):
     """Items whose distinct words lie in a document to 0.9 at least; at least four words."""
-    items = table(spark, sf, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("w")).where(F.size("w") >= 4)
-    words = items.select("item_id", F.size("w").alias("n"), F.explode("w").alias("token"))
-    postings = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    met = postings.join(words, "token").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("both"))
-    return met.where(F.col("both") >= 0.9 * F.col("n")).select("doc_id", "item_id", F.round(F.col("both") / F.col("n"), 6).alias("share"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.array_distinct(T.tokens(F.col("text"))).alias("words")).where(F.size("words") >= 4)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), T.tokens(F.col("text")).alias("words"))
+    met = pairs.contained(items, docs, 0.9)
+    return met.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.round(F.col("both") / F.col("n"), 6).alias("share"))
 
 
 def interval_overlap(spark, sf):
