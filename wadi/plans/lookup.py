@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wadi.functions import text as T
-from wadi.operators import intervals, pairs
+from wadi.operators import cells, intervals, pairs
 from wadi.operators.bm25 import query_tokens
 from wadi.plans.corpus import _TOK, _SLIDING
 from wadi.plans.corpus import sliding_passages as _passages
@@ -58,7 +58,7 @@ def membership_join(spark, sf):
 
 def cosine_synonyms(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return pairs.cosine_neighbours(v, 0.25, 6)
+    return cells.neighbours(v, 0.25, 6)
 
 
 def _followers(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wadi.functions import text as T
 from wadi.functions import vectors as V
-from wadi.operators import bm25, dense, fusion
+from wadi.operators import bm25, cells, dense, fusion
 from wadi.plans.tables import table
 from wadi.sources.shared import folder_of
 
@@ -60,6 +60,12 @@ def knn_topk(spark, sf):
     return dense.top(_similar(spark, sf), K).select("query_id", "vec_id", "score", "rank")
 
 
+def knn_cells(spark, sf):
+    """The same by an index of cells, with a recall of 0.9 or more."""
+    vectors = _vectors(spark, sf)
+    return cells.search(cells.fit(vectors, k=K), _vector_queries(spark, sf), vectors, K).select("query_id", "vec_id", "score", "rank")
+
+
 def knn_scoped_topk(spark, sf):
     return dense.top(dense.similarities(_vector_queries(spark, sf), _vectors(spark, sf).where("label < 4")), K).select("query_id", "vec_id", "score", "rank")
 
@@ -160,7 +166,7 @@ def greedy_dedup(spark, sf):
     return fusion.greedy_dedup(rows.join(words, "doc_id"), "words").select("query_id", "doc_id", "score")
 
 
-NAMES = "bm25_topk bm25_scoped_topk bm25_term_stats knn_topk knn_scoped_topk knn_stratified dense_best_merge vector_blend rrf_fusion rrf_tail_cutoff rrf_guaranteed score_floor misclassified_filter artifact_filter soft_scope_filter blend_scores group_cap_defer backfill_fill interleave_arms balance_sources greedy_dedup"
+NAMES = "bm25_topk bm25_scoped_topk bm25_term_stats knn_topk knn_cells knn_scoped_topk knn_stratified dense_best_merge vector_blend rrf_fusion rrf_tail_cutoff rrf_guaranteed score_floor misclassified_filter artifact_filter soft_scope_filter blend_scores group_cap_defer backfill_fill interleave_arms balance_sources greedy_dedup"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _TOK = r"list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda w: length(w) >= 3)"
