@@ -25,9 +25,9 @@ def streaks(spark, sf):
 
 
 def current_streak(spark, sf):
-    """Days in a row that end on 2024-01-30, or the day before if that one is empty."""
-    today = F.to_date(F.lit("2024-01-30"))
-    runs = W.islands(_events(spark, sf), "user_id", "day").where((F.col("last") == today) | (F.col("last") == F.date_sub(today, 1)))
+    """Days in a row that end on the last day of the table, or the day before if that one is empty."""
+    today = _events(spark, sf).agg(F.max("day").alias("today"))  # one row
+    runs = W.islands(_events(spark, sf), "user_id", "day").crossJoin(F.broadcast(today)).where((F.col("last") == F.col("today")) | (F.col("last") == F.date_sub("today", 1))).drop("today")
     users = _events(spark, sf).select("user_id").distinct()
     return users.join(runs, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).alias("streak"))
 
@@ -119,7 +119,7 @@ _ISLANDS = f"(SELECT user_id, min(day) AS first, max(day) AS last, count(*) AS n
 SQL = {
     "daily_minutes": f"SELECT user_id, day, round(sum(value) / 60, 4) AS minutes, sum(value) >= 900 AS met FROM {_E} GROUP BY user_id, day",
     "streaks": f"SELECT * FROM {_ISLANDS}",
-    "current_streak": f"SELECT u.user_id, coalesce(i.n, 0) AS streak FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN {_ISLANDS} i ON i.user_id = u.user_id AND i.last IN (DATE '2024-01-30', DATE '2024-01-29')",
+    "current_streak": f"SELECT u.user_id, coalesce(i.n, 0) AS streak FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN {_ISLANDS} i ON i.user_id = u.user_id AND i.last >= (SELECT max(CAST(ts AS DATE)) FROM events) - 1",
     "latest_per_group": """WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)
       SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM l QUALIFY place <= 50""",
     "gap_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
