@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wadi.llm.chat import OP7_SQL, op7_chat
+from wadi.llm.chat_log import CHAT_LOG_SQL, chat_log
 from wadi.llm.chosen_path import OP2_SQL, op2_near_dedup
 from wadi.llm.decontaminate import op1_decontaminate
 from wadi.llm.fill_middle import OP11_SQL, op11_fill_middle
@@ -24,6 +25,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_tag_paths": op6_tag_paths,
     "op7_chat": op7_chat,
+    "chat_log": chat_log,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_suffix_tree": op10_suffix_tree,
@@ -36,6 +38,7 @@ SQL: dict[str, str] = {
     "op2_near_dedup": OP2_SQL,
     "op3_licenses": OP3_SQL,
     "op7_chat": OP7_SQL,
+    "chat_log": CHAT_LOG_SQL,
     "op9_warc": OP9_SQL,
     "op11_fill_middle": OP11_SQL,
 }
