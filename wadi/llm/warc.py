@@ -50,10 +50,17 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder URI (file, hdfs, s3, gs; a plain path is one of this machine, for tests)."""
+    """File system and path of a folder URI (file, hdfs, s3, gs; a plain path is one of this machine, for tests; queries pass ``qualified`` ones)."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme: one without is where the cluster's default file system has it, not on a task's own machine."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
 def url_key(url: str | None) -> str:
     """Reversed-host key of a URL, without scheme, credentials, port 80/443, fragment and letter case of the host."""
     m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^#]*)", url or "")
@@ -292,7 +299,7 @@ def captures(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = fresh_folder(spark, "warc")
+    folder = qualified(spark, fresh_folder(spark, "warc"))
     written = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return captures(written.select("url_key"), build_index(written, folder), folder)
 
