@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wadi.operators import fusion
+from wadi.operators import fusion, shaping
 from wadi.plans import quality
 from wadi.plans.tables import table
 
@@ -63,3 +63,17 @@ def test_approximate_counts_are_near_the_exact_ones(spark):
     got = {r["l_returnflag"]: r["parts"] for r in quality.approx_distinct(spark, sf).collect()}
     exact = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("n")).collect()
     assert set(got) == {r["l_returnflag"] for r in exact} and all(abs(got[r["l_returnflag"]] - r["n"]) <= 0.05 * r["n"] for r in exact)
+
+
+def test_trailing_runs_and_summaries(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 2, 3, None]), i, rng.choice("aab")) for i in range(60)] + [(9, 100, "a")]
+    df = spark.createDataFrame(rows, "g int, at int, v string")
+    got = {r["g"]: r["run"] for r in shaping.trailing_runs(df, "g", "at", "v").collect()}
+    sums = {r["g"]: r["summary"] for r in shaping.summaries(df, "g", "at", 3).collect()}
+    for g in {r[0] for r in rows}:
+        own = [v for k, _, v in rows if k == g]
+        run = next((i for i, v in enumerate(reversed(own)) if v != own[-1]), len(own))
+        at = [str(i) for k, i, _ in rows if k == g]
+        assert got[g] == run and sums[g] == ", ".join(at[:3]) + (f" +{len(at) - 3}" if len(at) > 3 else "")
+    assert len(got) == len(sums) == 5 and shaping.trailing_runs(df.limit(0), "g", "at", "v").count() == 0

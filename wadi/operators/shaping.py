@@ -73,6 +73,25 @@ def trailing_run(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0), step)).otherwise(0)
 
 
+def trailing_runs(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """(by, run): how many rows of equal value end each key, by counts after the last row of another value; no key's rows come together."""
+    last = rows.groupBy(by, value).agg(F.max(order).alias("_at")).groupBy(by).agg(F.max_by(value, "_at").alias("_last"), F.array_sort(F.collect_list("_at")).alias("_ats"))  # one for each value
+    other = last.select(F.col(by).alias("_by"), F.when(F.size("_ats") > 1, F.element_at("_ats", -2)).alias("_other"))
+    held = rows.join(other, F.col(by).eqNullSafe(F.col("_by")))
+    return held.where(F.col("_other").isNull() | (F.col(order) > F.col("_other"))).groupBy(by).agg(F.count("*").cast("int").alias("run"))
+
+
+def summaries(rows: DataFrame, by: str, value: str, most: int) -> DataFrame:
+    """(by, summary) of the least values of each key as ``summary`` writes them; only ``most`` rows of a key come together."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(value))
+    least = rows.where(F.col(value).isNotNull()).select(by, value).withColumn("_place", place).where(F.col("_place") <= most)
+    heads = least.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(value)), lambda x: x.cast("string")), ", ").alias("_head"))
+    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count(value).alias("_n"))
+    both = counts.join(heads, F.col("_by").eqNullSafe(F.col(by)), "left")
+    text = F.coalesce("_head", F.lit(""))
+    return both.select(F.col("_by").alias(by), F.when(F.col("_n") > most, F.concat(text, F.lit(" +"), (F.col("_n") - most).cast("string"))).otherwise(text).alias("summary"))
+
+
 def word_spans(text: Column) -> Column:
     """array<struct<word, start, end>> of white-space words by characters."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")

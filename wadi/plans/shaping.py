@@ -53,8 +53,7 @@ def letter_runs(spark, sf):
 
 
 def trailing_runs(spark, sf):
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
-    return e.select("user_id", S.trailing_run(F.transform("x", lambda v: v["event_type"])).alias("run"))
+    return S.trailing_runs(table(spark, sf, "events"), "user_id", "event_id", "event_type")
 
 
 def word_offsets(spark, sf):
@@ -87,8 +86,7 @@ def token_batches(spark, sf):
 
 
 def list_summaries(spark, sf):
-    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")).alias("k"))
-    return o.select("o_custkey", S.summary(F.col("k"), 3).alias("orders"))
+    return S.summaries(table(spark, sf, "orders"), "o_custkey", "o_orderkey", 3).withColumnRenamed("summary", "orders")
 
 
 def overlay_union(spark, sf):
