@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wadi.functions import text as T
 from wadi.functions import vectors as V
-from wadi.operators import bm25, cells, dense, fusion
+from wadi.operators import arms, bm25, cells, dense, fusion
 from wadi.plans.tables import table
 from wadi.sources.shared import folder_of
 
@@ -155,6 +155,29 @@ def interleave_arms(spark, sf):
     return fusion.interleave(a, b).select("query_id", "doc_id", "place")
 
 
+def _arms(spark, sf):
+    """The two halves of an item's words as arms of one query."""
+    words, half = T.tokens(F.col("text")), F.floor(F.size("w") / 2).cast("int")
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w"))
+    first, second = F.slice("w", 1, half), F.slice("w", half + 1, F.size("w") - half)
+    return items.select("query_id", F.inline(F.array(F.struct(F.lit("first").alias("arm"), F.array_join(first, " ").alias("text")), F.struct(F.lit("second").alias("arm"), F.array_join(second, " ").alias("text")))))
+
+
+def arm_search(spark, sf):
+    return arms.search_arms(_index(spark, sf), _arms(spark, sf), 5).select("query_id", "arm", "doc_id", "score", "rank")
+
+
+def scored_pool(spark, sf):
+    """What either arm found: the best of the whole query keep their scores, the others are scored by their words."""
+    words = F.array_join(T.tokens(F.col("text")), " ")
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("query"))
+    passages = table(spark, sf, "documents").select("doc_id", words.alias("passage"))
+    found = arms.best_arm(arms.search_arms(_index(spark, sf), _arms(spark, sf), 5)).select("query_id", "doc_id")
+    pool = found.join(queries, "query_id").join(passages, "doc_id")
+    got = arms.score_pool(pool, _lexical(spark, sf, 3).select("query_id", "doc_id", "score"), arms.overlap_scorer)
+    return got.select("query_id", "doc_id", F.round("score", 6).alias("score"), "fresh")
+
+
 def balance_sources(spark, sf):
     rows = _scored(spark, sf).withColumn("kind", F.when(F.col("lang") == "en", "en").otherwise("other")).select("query_id", "doc_id", "score", "kind")
     return fusion.balance_sources(rows, "kind", K).select("query_id", "doc_id", "score", "kind", "place")
@@ -166,7 +189,7 @@ def greedy_dedup(spark, sf):
     return fusion.greedy_dedup(rows.join(words, "doc_id"), "words").select("query_id", "doc_id", "score")
 
 
-NAMES = "bm25_topk bm25_scoped_topk bm25_term_stats knn_topk knn_cells knn_scoped_topk knn_stratified dense_best_merge vector_blend rrf_fusion rrf_tail_cutoff rrf_guaranteed score_floor misclassified_filter artifact_filter soft_scope_filter blend_scores group_cap_defer backfill_fill interleave_arms balance_sources greedy_dedup"
+NAMES = "bm25_topk bm25_scoped_topk bm25_term_stats knn_topk knn_cells knn_scoped_topk knn_stratified dense_best_merge vector_blend rrf_fusion rrf_tail_cutoff rrf_guaranteed score_floor misclassified_filter artifact_filter soft_scope_filter blend_scores group_cap_defer backfill_fill interleave_arms arm_search scored_pool balance_sources greedy_dedup"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _TOK = r"list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda w: length(w) >= 3)"
@@ -203,6 +226,12 @@ fused AS (
 )"""
 _SCORED = f"""{_INDEX}, hits AS ({_top('scores', 30)}),
 scored AS (SELECT query_id, doc_id, rank, source, lang, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM hits JOIN documents USING (doc_id))"""
+_ARMS = f"""{_INDEX}, halves AS (SELECT item_id AS query_id, {_TOK} AS w FROM benchmark),
+arm_words AS (SELECT query_id, 'first' AS arm, unnest(w[:len(w) // 2]) AS token FROM halves UNION ALL SELECT query_id, 'second', unnest(w[len(w) // 2 + 1:]) FROM halves),
+arm_tokens AS (SELECT query_id, arm, token, CAST(count(*) AS DOUBLE) AS times FROM arm_words GROUP BY ALL),
+arm_scores AS (SELECT q.query_id, q.arm, p.doc_id, round(sum(q.times * t.idf * (p.tf * 2.5 / (p.tf + 1.5 * (1 - 0.65 + 0.65 * l.dl / (SELECT avgdl FROM totals))))), 6) AS score
+  FROM arm_tokens q JOIN terms t USING (token) JOIN postings p USING (token) JOIN lengths l ON l.doc_id = p.doc_id GROUP BY ALL),
+arm_top AS (SELECT *, row_number() OVER (PARTITION BY query_id, arm ORDER BY score DESC, doc_id) AS rank FROM arm_scores WHERE score > 0 QUALIFY rank <= 5)"""
 _W = "(PARTITION BY query_id)"
 
 SQL = {
@@ -239,6 +268,11 @@ SQL = {
       SELECT query_id, doc_id, source, rank, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS place FROM n""",
     "backfill_fill": f"""WITH {_SCORED}, u AS (SELECT query_id, doc_id, score, CASE WHEN lang = 'fr' THEN 0 ELSE 1 END AS filled FROM scored)
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY filled, score DESC, doc_id) AS place FROM u QUALIFY place <= 10""",
+    "arm_search": f"WITH {_ARMS} SELECT query_id, arm, doc_id, score, rank FROM arm_top",
+    "scored_pool": f"""WITH {_ARMS}, best AS ({_top('scores', 3)}), pool AS (SELECT DISTINCT query_id, doc_id FROM arm_top),
+      q AS (SELECT query_id, list_distinct(w) AS w FROM halves), d AS (SELECT doc_id, w0 AS w FROM words)
+      SELECT pool.query_id, pool.doc_id, round(coalesce(best.score, len(list_intersect(q.w, d.w)) / len(q.w)), 6) AS score, best.score IS NULL AS fresh
+      FROM pool JOIN q USING (query_id) JOIN d USING (doc_id) LEFT JOIN best ON best.query_id = pool.query_id AND best.doc_id = pool.doc_id""",
     "interleave_arms": f"""WITH {_INDEX}, a AS ({_top('scores', 10)}), b AS ({_top('scores', 10, '''score > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')''')}),
       u AS (SELECT query_id, doc_id, rank, 0 AS arm FROM a UNION ALL SELECT query_id, doc_id, rank, 1 FROM b),
       o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, arm) AS n FROM u QUALIFY n = 1)
