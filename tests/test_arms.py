@@ -18,7 +18,7 @@ def test_arms_are_searched_as_if_alone(spark, tmp_path):
         alone = spark.createDataFrame([(q, text)], "query_id long, text string")
         want = [(r["rank"], r["doc_id"], r["score"]) for r in bm25.search(index, bm25.query_tokens(alone), 2).collect()]
         assert sorted(got.get((q, arm), [])) == sorted(want)
-    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+    scans = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet")
     assert scans(found) == scans(bm25.search(index, bm25.query_tokens(alone), 2))  # no scan more for more arms
     best = {(r["query_id"], r["doc_id"]): r["arms"] for r in arms.best_arm(found).collect()}
     assert best[1, 5] == ["a"] and best[1, 2] == ["b"] and best[2, 2] == ['odd "arm"']
