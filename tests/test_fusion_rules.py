@@ -77,3 +77,18 @@ def test_trailing_runs_and_summaries(spark):
         at = [str(i) for k, i, _ in rows if k == g]
         assert got[g] == run and sums[g] == ", ".join(at[:3]) + (f" +{len(at) - 3}" if len(at) > 3 else "")
     assert len(got) == len(sums) == 5 and shaping.trailing_runs(df.limit(0), "g", "at", "v").count() == 0
+
+
+def test_batches(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([0, 1, None]), i, rng.choice([None, *range(1, 30)]), 5) for i in range(150)]
+    df = spark.createDataFrame(rows, "lot int, id int, n int, batch int")
+    got = {r["id"]: (r["lot"], r["batch"]) for r in shaping.batches(df, "lot", "n", 60, 5).collect()}
+    for lot in (0, 1, None):
+        number, count = 0, 0
+        for n, i in sorted((n or 0, i) for k, i, n, _ in rows if k == lot):
+            if count >= 5 or count and n * (count + 1) > 60:
+                number, count = number + 1, 0
+            count += 1
+            assert got[i] == (lot, number)
+    assert len(got) == 150 and shaping.batches(df.limit(0), "lot", "n", 60).count() == 0

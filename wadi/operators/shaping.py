@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,20 +127,28 @@ def spans_of_chunks(spans: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def batches(rows: DataFrame, by: str, length: str, budget: int, most: int = 8) -> DataFrame:
-    """``rows`` with a batch number: by length within ``by``, at most ``most`` rows and ``budget`` padded tokens in a batch.
+    """(by, id, batch): ``rows`` with a batch number by length within ``by``, at most ``most`` rows and ``budget`` padded tokens in a batch.
 
-    A batch is closed when its longest, which is the row at hand, times its rows would pass the budget.
+    A batch is closed when its longest, which is the row at hand, times its rows would pass the budget. The
+    rows of a lot are streamed in order; a task keeps two numbers of it. A null length is 0.
     """
-    each = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(length).alias("n"), F.col("id")))).alias("r"))
-    empty = F.array().cast("array<struct<id:bigint,batch:int>>")
-
-    def step(s, x):
-        full = (s["count"] >= most) | ((s["count"] > 0) & (x["n"] * (s["count"] + 1) > budget))
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(F.concat(s["out"], F.array(F.struct(x["id"].cast("long").alias("id"), batch.alias("batch")))).alias("out"), batch.alias("batch"), F.when(full, 1).otherwise(s["count"] + 1).alias("count"))
-
-    done = F.aggregate("r", F.struct(empty.alias("out"), F.lit(0).alias("batch"), F.lit(0).alias("count")), step, lambda s: s["out"])
-    return each.select(by, F.explode(done).alias("x")).select(by, "x.id", "x.batch")
+    kind = rows.schema[by].dataType.simpleString()
+    dealt = rows.select(F.col(by), F.coalesce(F.col(length), F.lit(0)).cast("long").alias("_n"), F.col("id").cast("long").alias("id")).repartition(by).sortWithinPartitions(by, "_n", "id")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, number, count = (), 0, 0
+        for part in parts:
+            out = []
+            for own, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if (own,) != lot:
+                    lot, number, count = (own,), 0, 0
+                if count >= most or count and n * (count + 1) > budget:
+                    number, count = number + 1, 0
+                count += 1
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, pa.int32())], names=[by, "id", "batch"])
+
+    return dealt.mapInArrow(run, f"`{by}` {kind}, id long, batch int")
 
 
 def summary(values: Column, most: int, separator: str = ", ", more: str = " +") -> Column:

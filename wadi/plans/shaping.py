@@ -81,8 +81,9 @@ def span_chunks(spark, sf):
 
 
 def token_batches(spark, sf):
-    d = table(spark, sf, "benchmark").select((F.col("item_id") % 4).alias("lot"), F.col("item_id").alias("id"), F.size(F.split("text", " ")).alias("n"))
-    return S.batches(d, "lot", "n", 200, 4)
+    """Documents of four lots by length, at most eight and 4,000 padded words in a batch."""
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("lot"), F.col("doc_id").alias("id"), F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("n"))
+    return S.batches(d, "lot", "n", 4000)
 
 
 def list_summaries(spark, sf):
@@ -156,8 +157,8 @@ SELECT conv_id, turn, count(*) FILTER (before) AS words, CAST(sum(CASE WHEN befo
 SELECT s.g AS "group", word, arg_min(o, pos) AS first, arg_max(o, pos) AS last FROM s LEFT JOIN k ON k.g = s.g AND pos >= a AND pos < b GROUP BY 1, 2""",
     "span_chunks": f"""WITH {_SPANS}, k AS (SELECT g, pos FROM c WHERE pos % 2 = 0)
 SELECT s.g AS "group", word, CASE WHEN 2 * count(pos) = any_value(b - a) THEN coalesce(string_agg('c' || pos, ',' ORDER BY pos), '') ELSE '' END AS chunks FROM s LEFT JOIN k ON k.g = s.g AND pos >= a AND pos < b GROUP BY 1, 2""",
-    "token_batches": """WITH RECURSIVE d AS (SELECT item_id % 4 AS lot, item_id AS id, len(string_split(text, ' ')) AS n FROM benchmark), o AS (SELECT *, row_number() OVER (PARTITION BY lot ORDER BY n, id) AS i FROM d),
-r AS (SELECT lot, id, i, 0 AS batch, 1 AS c FROM o WHERE i = 1 UNION ALL SELECT o.lot, o.id, o.i, CASE WHEN r.c >= 4 OR o.n * (r.c + 1) > 200 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.c >= 4 OR o.n * (r.c + 1) > 200 THEN 1 ELSE r.c + 1 END FROM r JOIN o ON o.lot = r.lot AND o.i = r.i + 1)
+    "token_batches": """WITH RECURSIVE d AS (SELECT doc_id % 4 AS lot, doc_id AS id, len(string_split(coalesce(text, ''), ' ')) AS n FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY lot ORDER BY n, id) AS i FROM d),
+r AS (SELECT lot, id, i, 0 AS batch, 1 AS c FROM o WHERE i = 1 UNION ALL SELECT o.lot, o.id, o.i, CASE WHEN r.c >= 8 OR o.n * (r.c + 1) > 4000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.c >= 8 OR o.n * (r.c + 1) > 4000 THEN 1 ELSE r.c + 1 END FROM r JOIN o ON o.lot = r.lot AND o.i = r.i + 1)
 SELECT lot, id, batch FROM r""",
     "list_summaries": "WITH k AS (SELECT o_custkey, list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey) AS k FROM orders GROUP BY 1) SELECT o_custkey, array_to_string(k[1:3], ', ') || CASE WHEN len(k) > 3 THEN ' +' || (len(k) - 3) ELSE '' END AS orders FROM k",
     "overlay_union": "WITH c AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'error' AND user_id % 3 <> 0) SELECT user_id, event_type, false AS live FROM c UNION ALL SELECT user_id, event_type, true FROM (SELECT DISTINCT user_id, event_type FROM events EXCEPT SELECT * FROM c)",
