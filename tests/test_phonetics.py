@@ -103,3 +103,11 @@ def test_attributes_by_hand(spark):
     assert rows[0]["stop"] == "shadeed" and rows[2]["stop"] == "between" and rows[11]["stop"] == "rikhw" and rows[8]["stretch"] == "mostateel" and rows[8]["cover"] == "motbaq"
     assert rows[9]["spread"] == "motafashie" and rows[9]["breath"] == "hams" and rows[5]["repeat"] == "mokarar" and rows[7]["nasal"] == rows[10]["nasal"] == "maghnoon" and rows[0]["whistle"] == "no_safeer"
     assert spark.range(1).select(F.size(P.with_neighbours(F.array().cast("array<string>")))).first()[0] == 0
+
+
+@pytest.mark.parametrize("chunks, values, word, expected", [
+    ("abcabd", "123456", "ab", "45"), ("abcabd", "123456", "bc", "23"), ("abcabd", "1234", "ab", "4"), ("abcabd", "123456", "xy", "56"), ("abc", "1", "xyz", "1"), ("abc", "123", "", ""), ("", "", "ab", ""), ("ab", "12", "ab", "12"),
+])
+def test_slices_of_a_word(spark, chunks, values, word, expected):
+    array = lambda t: F.array(*[F.lit(x) for x in t]).cast("array<string>")
+    assert spark.range(1).select(F.array_join(P.last_slice(array(values), array(chunks), array(word)), "")).first()[0] == expected

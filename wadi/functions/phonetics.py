@@ -179,3 +179,14 @@ def sound_attributes(chunk: Column, before: Column, after: Column) -> list[Colum
     stop = F.when(inside(first, STOPPED), "shadeed").when(inside(first, BETWEEN_STOPS), "between").otherwise("rikhw").alias("stop")
     echoed = F.when(~inside(last, VOWELS) & inside(first, ECHOED), "moqalqal").otherwise("not_moqalqal").alias("echo")
     return [*simple, stop, weight.alias("weight"), echoed]
+
+
+def last_slice(values: Column, chunks: Column, word: Column) -> Column:
+    """The values that belong to a word's chunks: those at the last place where ``chunks`` has them in a row, else the last ones, as many.
+
+    ``values`` go with ``chunks`` from the first on, and may be fewer; an empty word has none.
+    """
+    n = F.size(word)
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(chunks) - n + 1, F.lit(1))), lambda i: F.slice(chunks, i, n) == word)
+    tail = F.slice(values, F.greatest(F.size(values) - n, F.lit(0)) + 1, n)
+    return F.when(n == 0, F.slice(values, 1, 0)).when(F.size(places) > 0, F.slice(values, F.array_max(places), n)).otherwise(tail)

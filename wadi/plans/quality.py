@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wadi.operators import dense
 from wadi.plans.retrieval import _similar
 from wadi.plans.tables import table
+from wadi.sources import records
 
 
 def precision_recall_mrr(spark, sf):
@@ -89,6 +90,14 @@ def cube_counts(spark, sf):
     return table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
 
 
+def record_round_trip(spark, sf):
+    """Each order's lines as a JSON document, read back."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey"), "l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("l_quantity"), "l_returnflag")
+    keys = ["l_orderkey"]
+    back = records.read_records(records.write_records(li, keys, "l_linenumber"), records.record_schema(li, keys, "l_linenumber"))
+    return back.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders"), F.sum(F.col("l_partkey").cast("long") * F.col("l_linenumber")).alias("parts"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
 def approx_distinct(spark, sf):
     """Approximate counts (rows only: sketches differ between engines)."""
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.01).alias("parts"))
@@ -126,10 +135,11 @@ def daily_pricing(spark, sf):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(price), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
-NAMES = "precision_recall_mrr attribute_accuracy head_accuracy weighted_error_rate ensemble_score page_accuracy smoke_report majority_class max_pool_argmax rollup_counts cube_counts approx_distinct asof_latest json_props set_operations daily_pricing"
+NAMES = "precision_recall_mrr attribute_accuracy head_accuracy weighted_error_rate ensemble_score page_accuracy smoke_report majority_class max_pool_argmax rollup_counts cube_counts record_round_trip approx_distinct asof_latest json_props set_operations daily_pricing"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 SQL = {
+    "record_round_trip": "SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS orders, CAST(sum(CAST(l_partkey AS BIGINT) * l_linenumber) AS BIGINT) AS parts, round(sum(CAST(l_quantity AS DOUBLE)), 2) AS quantity FROM lineitem GROUP BY 1",
     "precision_recall_mrr": """WITH q AS (SELECT vec_id AS query_id, label AS own, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0),
       h AS (SELECT query_id, own, CASE WHEN own = label THEN 1 ELSE 0 END AS rel, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(q, CAST(embedding AS DOUBLE[])), 6) DESC, vec_id) AS rank FROM q, embeddings WHERE query_id <> vec_id QUALIFY rank <= 10),
       t AS (SELECT label AS own, count(*) - 1 AS total FROM embeddings GROUP BY label), s AS (SELECT query_id, own, sum(rel) AS found, min(CASE WHEN rel = 1 THEN rank END) AS first FROM h GROUP BY query_id, own)

@@ -49,7 +49,17 @@ def document_sounds(spark, sf):
     return _sounds(table(spark, sf, "documents"), F.col("text")).groupBy(*ATTRIBUTES).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (lengthened_texts, item_sounds, document_sounds)}
+def attribute_slices(spark, sf):
+    """For the second word of each turn: the attributes, told for all but the turn's last two sounds, that belong to it."""
+    script = F.translate(F.lower("text"), LATIN, SCRIPT)
+    c = table(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", script.alias("t"))
+    c = c.select("conv_id", "turn", phoneme_chunks(F.col("t")).alias("chunks"), phoneme_chunks(F.coalesce(F.get(F.split("t", " "), F.lit(1)), F.lit(""))).alias("word"))
+    told = F.transform(F.slice("chunks", 1, F.greatest(F.size("chunks") - 2, F.lit(0))), lambda x: F.substring(x, 1, 1))
+    own = P.last_slice(F.col("told"), F.col("chunks"), F.col("word"))
+    return c.withColumn("told", told).select("conv_id", "turn", F.size("word").cast("long").alias("sounds"), F.array_join(own, "").alias("told"))
+
+
+QUERIES = {f.__name__: f for f in (attribute_slices, lengthened_texts, item_sounds, document_sounds)}
 
 # The same rules in plain code points, apart from the library's names; a replacement's lengths are columns of the options.
 _PLAIN_LENGTHS = (
@@ -92,7 +102,11 @@ _ATTRIBUTES = f"""{_ONE("\u0641\u0647\u0633", "hams", "jahr")} AS breath, {_ONE(
   'not_mostateel' AS stretch, {_ONE("\u0646\u0645", "maghnoon", "not_maghnoon")} AS nasal, CASE WHEN contains('\u0621\u0642\u0637\u0628', c[1]) THEN 'shadeed' WHEN contains('\u0644\u0646\u0645', c[1]) THEN 'between' ELSE 'rikhw' END AS stop,
   CASE WHEN c[1] = '\u0627' THEN CASE WHEN lag(c[1]) OVER w IN ('\u0637', '\u0642') THEN 'mofakham' ELSE 'moraqaq' END WHEN c[1] = '\u0642' AND c[-1] = '\u0650' THEN 'low_mofakham' WHEN c[1] IN ('\u0637', '\u0642') THEN 'mofakham' ELSE 'moraqaq' END AS weight,
   CASE WHEN NOT contains('{_RESIDUALS}', c[-1]) AND c[1] IN ('\u0642', '\u0637', '\u0628') THEN 'moqalqal' ELSE 'not_moqalqal' END AS echo"""
+_FOUND = lambda text: _CHUNKS.replace("coalesce(text, '')", text)
 SQL = {
+    "attribute_slices": f"""WITH c AS (SELECT conv_id, turn, {_FOUND("text")} AS c, {_FOUND("coalesce(string_split(text, ' ')[2], '')")} AS w FROM conversations WHERE text IS NOT NULL),
+      v AS (SELECT *, list_transform(c[:greatest(len(c) - 2, 0)], lambda x: x[1]) AS v, list_max(list_filter(range(1, len(c) + 1), lambda i: c[i:i + len(w) - 1] = w)) AS i FROM c)
+      SELECT conv_id, turn, len(w) AS sounds, CASE WHEN len(w) = 0 THEN '' WHEN i IS NOT NULL THEN coalesce(array_to_string(v[i:i + len(w) - 1], ''), '') ELSE coalesce(array_to_string(v[greatest(len(v) - len(w), 0) + 1:], ''), '') END AS told FROM v""",
     "lengthened_texts": f"""WITH o AS ({_OPTIONS}), d AS (SELECT doc_id, doc_id % 25 AS reader, translate(lower(text), '{LATIN}', '{SCRIPT}') AS t FROM documents WHERE text IS NOT NULL),
       l AS (SELECT doc_id, t, {_LONG} AS long FROM d JOIN o USING (reader)) SELECT doc_id, md5(long) AS long_md5, length(long) - length(t) AS grown FROM l""",
     "item_sounds": f"""WITH c AS (SELECT item_id, unnest({_CHUNKS}) AS c, generate_subscripts({_CHUNKS}, 1) - 1 AS place FROM benchmark)
