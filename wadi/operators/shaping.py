@@ -111,11 +111,12 @@ def word_spans(text: Column) -> Column:
 def mapped_bounds(spans: DataFrame, chars: DataFrame) -> DataFrame:
     """(group, word, first, last): the places that the first and the last kept character of each span have on the other side.
 
-    ``spans`` are (group, word, start, end), ``chars`` (group, at, to, deleted).
+    ``spans`` are (group, word, start, end), ``chars`` (group, at, to, deleted). Neither side is broadcast: rows that
+    were exploded count as their source in the optimizer's sizes.
     """
-    met = spans.join(chars.where(~F.col("deleted")), "group").where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
+    met = spans.hint("merge").join(chars.where(~F.col("deleted")), "group").where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
     found = met.groupBy("group", "word").agg(F.min_by("to", "at").alias("first"), F.max_by("to", "at").alias("last"))
-    return spans.select("group", "word").join(found, ["group", "word"], "left")
+    return spans.select("group", "word").hint("merge").join(found, ["group", "word"], "left")
 
 
 def spans_of_chunks(spans: DataFrame, chunks: DataFrame) -> DataFrame:
