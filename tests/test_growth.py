@@ -18,3 +18,10 @@ def test_mapped_bounds_broadcasts_nothing(spark):
     got = S.mapped_bounds(_spans(spark), chars)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 2, 2), (1, 2, 4, 4), (2, 1, None, None)]
     assert "Broadcast" not in _plan(got)
+
+
+def test_spans_of_chunks_broadcasts_nothing(spark):
+    chunks = spark.range(1, 3).selectExpr("id AS group", "explode(sequence(0, 3)) AS c_start").selectExpr("group", "c_start", "1 AS size", "concat('c', c_start) AS chunk")
+    got = S.spans_of_chunks(_spans(spark), chunks)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, ["c0", "c1"]), (1, 2, ["c2"]), (2, 1, [])]
+    assert "Broadcast" not in _plan(got)

@@ -120,11 +120,11 @@ def mapped_bounds(spans: DataFrame, chars: DataFrame) -> DataFrame:
 
 
 def spans_of_chunks(spans: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(group, word, chunks) in order; an empty list where the chunks' sizes do not add up to the span's."""
-    met = spans.join(chunks, "group").where((F.col("c_start") >= F.col("start")) & (F.col("c_start") < F.col("end")))
+    """(group, word, chunks) in order; an empty list where the chunks' sizes do not add up to the span's. Neither side is broadcast."""
+    met = spans.hint("merge").join(chunks, "group").where((F.col("c_start") >= F.col("start")) & (F.col("c_start") < F.col("end")))
     got = met.groupBy("group", "word", "start", "end").agg(F.array_sort(F.collect_list(F.struct("c_start", "chunk"))).alias("c"), F.sum("size").alias("size"))
     fits = got.select("group", "word", F.when(F.col("size") == F.col("end") - F.col("start"), F.transform("c", lambda x: x["chunk"])).alias("chunks"))
-    return spans.select("group", "word").join(fits, ["group", "word"], "left").select("group", "word", F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks"))
+    return spans.select("group", "word").hint("merge").join(fits, ["group", "word"], "left").select("group", "word", F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks"))
 
 
 def batches(rows: DataFrame, by: str, length: str, budget: int, most: int = 8) -> DataFrame:
