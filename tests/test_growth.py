@@ -1,6 +1,12 @@
 """What must not grow with the tables: broadcasts, repeated work, rows between tasks."""
 
+import re
+
+from pyspark.sql import functions as F
+
+from wadi.functions import phonetics as P
 from wadi.operators import shaping as S
+from wadi.plans import concepts
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +31,11 @@ def test_spans_of_chunks_broadcasts_nothing(spark):
     got = S.spans_of_chunks(_spans(spark), chunks)
     assert sorted(map(tuple, got.collect())) == [(1, 1, ["c0", "c1"]), (1, 2, ["c2"]), (2, 1, [])]
     assert "Broadcast" not in _plan(got)
+
+
+def test_phonetic_ends_are_ends_of_the_text(spark):
+    """As in the SQL: no end before a last line feed, and a carriage return is a character."""
+    cases = [("word_end", "\u0628\u064e\n", "\u0628\u064e\n"), ("echo", "\u0642\n", "\u0642\n"), ("doubled", "\r\u0651", "\r\r"), ("word_end", "\n\u0628\u064e", "\n\u0628")]
+    for group, text, want in cases:
+        assert spark.range(1).select(P.phonetic(F.lit(text), (group,))).first()[0] == want
+    assert re.search(concepts.MAPPED[[new for _, new in concepts.MAPPED].index(rf"\1{P.ECHO}")][0], "\u0642\n") is None

@@ -60,9 +60,12 @@ RULES: dict[str, tuple[tuple[str, str], ...]] = {
 
 
 def phonetic(c: Column, groups: tuple[str, ...] = tuple(RULES)) -> Column:
-    """The text after the named groups of rules, each over the whole text, in the order given. Null stays null."""
+    """The text after the named groups of rules, each over the whole text, in the order given. Null stays null.
+
+    An end is the end of the text, never before a last line feed; a dot is any character but a line feed.
+    """
     rows = [(pattern, new) for name in groups for pattern, new in RULES[name]]
-    return reduce(lambda text, row: F.regexp_replace(text, row[0], row[1].replace("\\", "$")), rows, c)
+    return reduce(lambda text, row: F.regexp_replace(text, "(?d)" + row[0].replace("$", r"\z"), row[1].replace("\\", "$")), rows, c)
 
 
 # Signs of the lengthened script, and letter classes of its sounds.

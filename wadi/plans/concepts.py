@@ -77,7 +77,7 @@ def phonetic_texts(spark, sf):
 
 
 #: Rules whose map the SQL can tell by counting; here f and g stand for kashida and an echoed letter too.
-MAPPED = tuple(row for g in ("hamza", "kashida", "echo", "doubled") for row in P.RULES[g])
+MAPPED = tuple((find.replace("$", r"\Z"), new) for g in ("hamza", "kashida", "echo", "doubled") for find, new in P.RULES[g])
 MAPPED_SCRIPT = SCRIPT.translate({ord(P.TAA_MARBOOTA): P.KASHIDA, ord(P.NOON): "ق"})
 
 
