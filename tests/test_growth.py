@@ -1,12 +1,14 @@
 """What must not grow with the tables: broadcasts, repeated work, rows between tasks."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from wadi.functions import phonetics as P
+from wadi.operators import cells
 from wadi.operators import shaping as S
-from wadi.plans import concepts
+from wadi.plans import catalog, concepts
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +41,35 @@ def test_phonetic_ends_are_ends_of_the_text(spark):
     for group, text, want in cases:
         assert spark.range(1).select(P.phonetic(F.lit(text), (group,))).first()[0] == want
     assert re.search(concepts.MAPPED[[new for _, new in concepts.MAPPED].index(rf"\1{P.ECHO}")][0], "\u0642\n") is None
+
+
+def test_exact_search_with_copies_nulls_and_ties(spark):
+    """Copies beyond k, null vectors and queries, equal scores: as all pairs in plain Python; parts of any size."""
+    draw = random.Random(5)
+    some = [[draw.uniform(-1, 1) for _ in range(4)] for _ in range(30)]
+    rows = [(i, None if i % 17 == 3 else some[i % 5 if i % 3 else i % 30], i % 3 if i % 11 else None) for i in range(120)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>, label int")
+    q = spark.createDataFrame([(i, x) for i, x, _ in rows if i % 7 == 3], "query_id long, q array<double>")
+    for part in (16, 1000):
+        for strata, others in ((False, False), (True, True)):
+            want = []
+            for i, x, _ in rows:
+                if i % 7 == 3:
+                    groups = {}
+                    for j, y, label in rows:
+                        if not (others and i == j):
+                            score = None if x is None or y is None else round(sum(a * b for a, b in zip(x, y, strict=True)), 6)
+                            groups.setdefault(label if strata else 0, []).append((score is None, -(score or 0), j, label, score))
+                    for g in groups.values():
+                        want += [(i, j, label, score, r) for r, (_, _, j, label, score) in enumerate(sorted(g, key=lambda t: t[:3])[:4], 1)]
+            got = cells.nearest(q, v, 4, "label", strata, others, part).select("query_id", "vec_id", "label", "score", "rank").collect()
+            assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_neighbours_and_searches_take_products_of_matrices(spark):
+    """No search has a row for each pair; 20,000 vectors are one block of ``neighbours``, so each is sent twice."""
+    v = spark.range(20_000).selectExpr("id", "array(float(sin(id)), float(cos(id * 3))) AS v")
+    assert re.search(r"xxhash64\(.*\), 1\) AS block", _plan(cells.neighbours(v, 0.9, 2)))
+    for name in ("knn_topk", "knn_scoped_topk", "knn_stratified", "dense_best_merge", "precision_recall_mrr"):
+        plan = _plan(catalog.QUERIES[name](spark, SF))
+        assert "MapInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wadi.operators import dense
-from wadi.plans.retrieval import _similar
+from wadi.operators import cells
+from wadi.plans.retrieval import _vector_queries, _vectors
 from wadi.plans.tables import table
 from wadi.sources import records
 
@@ -14,7 +14,7 @@ from wadi.sources import records
 def precision_recall_mrr(spark, sf):
     """Of the ten nearest others, those with the query's label count as relevant."""
     own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
-    hits = dense.top(_similar(spark, sf).where("query_id <> vec_id"), 10).join(own, "query_id").withColumn("rel", (F.col("own") == F.col("label")).cast("int"))
+    hits = cells.nearest(_vector_queries(spark, sf), _vectors(spark, sf), 10, "label", others=True).join(own, "query_id").withColumn("rel", (F.col("own") == F.col("label")).cast("int"))
     total = table(spark, sf, "embeddings").groupBy(F.col("label").alias("own")).agg((F.count("*") - 1).alias("total"))
     q = hits.groupBy("query_id", "own").agg(F.sum("rel").alias("found"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"))
     q = q.join(total, "own")
