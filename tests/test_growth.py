@@ -1,11 +1,14 @@
 """What must not grow with the tables: broadcasts, repeated work, rows between tasks."""
 
+import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from wadi.functions import phonetics as P
+from wadi.functions import vectors as V
 from wadi.operators import cells
 from wadi.operators import shaping as S
 from wadi.plans import catalog, concepts
@@ -73,3 +76,13 @@ def test_neighbours_and_searches_take_products_of_matrices(spark):
     for name in ("knn_topk", "knn_scoped_topk", "knn_stratified", "dense_best_merge", "precision_recall_mrr"):
         plan = _plan(catalog.QUERIES[name](spark, SF))
         assert "MapInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_softmax_works_its_parts_out_once(spark):
+    rows = spark.createDataFrame([([0.0, 1.0, 3.0],)], "v array<double>")
+    got = rows.select(V.softmax(F.col("v")).alias("p"), V.log_sum_exp(F.col("v")).alias("lse"), V.unit(F.col("v")).alias("u"))
+    p, lse, u = got.first()
+    total = sum(math.exp(x) for x in (0, 1, 3))
+    assert p == pytest.approx([math.exp(x) / total for x in (0, 1, 3)]) and lse == pytest.approx(math.log(total)) and u == pytest.approx([0, 0.1**0.5, 0.9**0.5])
+    assert _plan(rows.select(V.softmax(F.col("v")))).count("array_max(") == 1
+    assert _plan(rows.select(V.unit(F.col("v")))).count("SQRT(") == 1
