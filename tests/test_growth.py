@@ -86,3 +86,8 @@ def test_softmax_works_its_parts_out_once(spark):
     assert p == pytest.approx([math.exp(x) / total for x in (0, 1, 3)]) and lse == pytest.approx(math.log(total)) and u == pytest.approx([0, 0.1**0.5, 0.9**0.5])
     assert _plan(rows.select(V.softmax(F.col("v")))).count("array_max(") == 1
     assert _plan(rows.select(V.unit(F.col("v")))).count("SQRT(") == 1
+
+
+def test_own_words_start_reads_kinds_of_opened_texts_only(spark):
+    plan = _plan(catalog.QUERIES["own_words_start"](spark, SF))
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_extract" in x]

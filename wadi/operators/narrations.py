@@ -48,14 +48,22 @@ def _literal(words: tuple[str, ...]) -> str:
 def word_kinds(words: Column, c: Chains = Chains()) -> Column:
     """One letter a word: t, s, p or o; a joined letter before a word of the first two kinds does not count."""
 
-    def kind(w: Column) -> Column:
-        bare = F.translate(F.btrim(F.regexp_replace(w, MARKS, ""), F.lit(TRIMMED)), "أإآٱ", "اااا")
+    def bared(w: Column) -> Column:
+        return F.translate(F.btrim(F.regexp_replace(w, MARKS, ""), F.lit(TRIMMED)), "أإآٱ", "اااا")
+
+    def kind(bare: Column) -> Column:
         rest = F.substr(bare, F.lit(2))
         known = lambda x: F.when(x.isin(*c.transmission), "t").when(x.isin(*c.speech), "s")
         after = F.when((F.length(bare) > 2) & F.left(bare, F.lit(1)).isin(*c.joined), known(rest))
         return F.coalesce(after, F.when(bare.isin(*c.prophet), "p"), known(bare), F.lit("o"))
 
-    return F.array_join(F.transform(words, kind), "")
+    # bare words first: inside a lambda a column is worked out wherever it is named
+    return F.array_join(F.transform(F.transform(words, bared), kind), "")
+
+
+def opens(words: Column, c: Chains = Chains()) -> Column:
+    """Whether a chain opens the text, from its first three words."""
+    return F.contains(word_kinds(F.slice(words, 1, 3), c), F.lit("t"))
 
 
 def own_words_start(kinds: Column, gap: int = 12) -> Column:

@@ -69,8 +69,10 @@ def mel_features(spark, sf):
 def own_words_start(spark, sf):
     """Where the text after an opening chain starts, for documents that open with one."""
     words = F.split(F.btrim(F.regexp_replace("text", r"\s+", " ")), " ")
-    kinds = table(spark, sf, "documents").select("doc_id", N.word_kinds(words, CHAINS).alias("kinds"))
-    return kinds.select("doc_id", N.own_words_start(F.col("kinds"), CHAINS.gap).cast("long").alias("start")).where("start IS NOT NULL")
+    # only texts that open with one have their other words looked at
+    opened = table(spark, sf, "documents").where(N.opens(words, CHAINS))
+    kinds = opened.select("doc_id", N.word_kinds(words, CHAINS).alias("kinds"))
+    return kinds.select("doc_id", N.own_words_start(F.col("kinds"), CHAINS.gap).cast("long").alias("start"))
 
 
 QUERIES = {f.__name__: f for f in (phoneme_chunks, refunded_seconds, stage_budgets, ngram_counts, missing_targets, since_last, hit_rates, mel_features, own_words_start)}
