@@ -84,10 +84,17 @@ def test_softmax_works_its_parts_out_once(spark):
     p, lse, u = got.first()
     total = sum(math.exp(x) for x in (0, 1, 3))
     assert p == pytest.approx([math.exp(x) / total for x in (0, 1, 3)]) and lse == pytest.approx(math.log(total)) and u == pytest.approx([0, 0.1**0.5, 0.9**0.5])
-    assert _plan(rows.select(V.softmax(F.col("v")))).count("array_max(") == 1
-    assert _plan(rows.select(V.unit(F.col("v")))).count("SQRT(") == 1
+    assert _plan(rows.select(V.softmax(F.col("v")).alias("x"))).count("array_max(") == 1
+    assert _plan(rows.select(V.unit(F.col("v")).alias("x"))).count("SQRT(") == 1
 
 
 def test_own_words_start_reads_kinds_of_opened_texts_only(spark):
     plan = _plan(catalog.QUERIES["own_words_start"](spark, SF))
     assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_extract" in x]
+
+
+def test_word_spans_in_one_pass(spark):
+    rows = spark.createDataFrame([(" a b \U0001F600c\r\nd",), ("",), (None,), ("x " * 50_000,)], "t string").select(S.word_spans(F.col("t")).alias("s"))
+    assert "aggregate(" not in _plan(rows)
+    got = [None if r["s"] is None else [tuple(x) for x in r["s"]] for r in rows.collect()]
+    assert got[:3] == [[("a b", 1, 4), ("\U0001F600c", 5, 7), ("d", 9, 10)], [], None] and got[3][-1] == ("x", 99_998, 99_999) and len(got[3]) == 50_000

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,17 +97,17 @@ def summaries(rows: DataFrame, by: str, value: str, most: int) -> DataFrame:
     return both.select(F.col("_by").alias(by), F.when(F.col("_n") > most, F.concat(text, F.lit(" +"), (F.col("_n") - most).cast("string"))).otherwise(text).alias("summary"))
 
 
+#: A word between white space as the engine's regular expressions know it.
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+def _spans_of(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else [(m.group(), *m.span()) for m in _WORD.finditer(t)])
+
+
 def word_spans(text: Column) -> Column:
-    """array<struct<word, start, end>> of white-space words by characters."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    gaps = F.split(text, r"\S+", -1)
-    empty = F.array().cast("array<struct<word:string,start:int,end:int>>")
-    step = lambda s, w: F.struct(
-        F.concat(s["out"], F.array(F.struct(w.alias("word"), (s["at"] + F.length(F.element_at(gaps, s["i"] + 1))).alias("start"), (s["at"] + F.length(F.element_at(gaps, s["i"] + 1)) + F.length(w)).alias("end")))).alias("out"),
-        (s["at"] + F.length(F.element_at(gaps, s["i"] + 1)) + F.length(w)).alias("at"),
-        (s["i"] + 1).alias("i"),
-    )
-    return F.aggregate(words, F.struct(empty.alias("out"), F.lit(0).alias("at"), F.lit(0).alias("i")), step, lambda s: s["out"])
+    """array<struct<word, start, end>> of white-space words by characters, in one pass over the text."""
+    return F.pandas_udf(_spans_of, "array<struct<word:string,start:int,end:int>>")(text)
 
 
 def mapped_bounds(spans: DataFrame, chars: DataFrame) -> DataFrame:
