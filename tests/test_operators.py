@@ -93,6 +93,42 @@ def test_similar_sets_against_brute_force(spark):
     assert {(r["a"], r["b"]) for r in pairs.similar_sets(df, 0.6).collect()} == want
 
 
+def test_similar_sets_in_cells_and_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    base = [rng.sample(range(2000), rng.choice([3, 20, 70, 200])) for _ in range(12)]
+    sets = {}
+    for i in range(150):
+        own = rng.choice(base)
+        sets[f"s{i}"] = set(rng.sample(own, max(1, int(len(own) * rng.uniform(0.6, 1))))) | set(rng.sample(range(2000), rng.randrange(4)))
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) >= 0.55}
+    first = {frozenset(s): i for i, s in sorted(sets.items(), reverse=True)}
+    want = {(a, b) for a, b in want if first[frozenset(sets[a])] == a and first[frozenset(sets[b])] == b}
+    df = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in sets.items()], "id string, words array<string>")
+    monkeypatch.setattr(pairs, "PAIRS", 50)
+    for frequent, words in ((1 << 20, 1 << 23), (40, 900)):
+        got = pairs.similar_sets(df, 0.55, frequent, words).collect()
+        assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 300
+        for r in got:
+            a, b = sets[r["a"]], sets[r["b"]]
+            assert r["jaccard"] == round(len(a & b) / len(a | b), 6)
+
+
+def test_pairs_that_only_share_a_word_do_not_leave_a_task(spark):
+    # any two share a rare word early in their order, and are far from alike
+    rows = [(i, [f"r{min(i, j)}_{max(i, j)}" for j in range(40)] + [f"o{i}_{j}" for j in range(60)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, words array<string>")
+    seen = []
+    whole = pairs._compared
+    try:
+        pairs._compared = lambda near, sets, kind: seen.append(near.count()) or whole(near, sets, kind)
+        assert pairs.similar_sets(df, 0.55).count() == 0
+    finally:
+        pairs._compared = whole
+    assert seen == [0]
+
+
 def test_every_copy_has_the_class_of_its_set(spark):
     import duckdb
     import pandas as pd
