@@ -83,3 +83,14 @@ def test_folder_changes_with_the_files(spark, tmp_path):
     assert one == folder_of(spark.read.parquet(path), "bm25")
     spark.range(3).write.mode("append").parquet(path)
     assert one != folder_of(spark.read.parquet(path), "bm25")
+
+
+def test_chunks_are_bounded_by_their_words(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 6, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("word other "), 150_000), F.lit("own"), F.col("id").cast("string")).alias("text"))
+    index = bm25.build(docs, f"file://{tmp_path}/index")
+    words = [sum(r["lengths"]) for r in index.chunks.collect()]
+    assert len(words) == 2 and max(words) <= 1 << 20 and sum(words) == 6 * 300_001
+    query = spark.createDataFrame([(1, "own4")], "query_id long, text string")
+    assert [r["doc_id"] for r in bm25.search(index, bm25.query_tokens(query), 3).collect()] == [4]

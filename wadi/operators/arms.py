@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wadi.functions.memory import release
 from wadi.operators import bm25
 
 Scorer = Callable[[], Callable[[Sequence[str], Sequence[str]], Sequence[float]]]
@@ -42,6 +43,8 @@ def score_column(scorer: Scorer) -> Callable[[Column, Column], Column]:
         run = scorer()
         for query, passage in pairs:
             yield pd.Series(run(query.fillna("").tolist(), passage.fillna("").tolist()), dtype="float64")
+        query = passage = None
+        release()
 
     return score
 
