@@ -1,5 +1,7 @@
 import cmath
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -69,3 +71,20 @@ def test_missing_targets_and_words_since_a_boundary(spark):
     rows = spark.createDataFrame([("x", 1, 0), ("x", 2, 1), ("x", 3, 0), ("y", 1, 0), (None, 1, 1), (None, 2, 0)], "g string, at long, cut int")
     got = S.since_last(rows, "g", "at", F.col("cut") == 1).select("g", "at").collect()
     assert sorted(((r[0] or "", r[1]) for r in got)) == [("", 2), ("x", 3), ("y", 1)]
+
+
+def test_vocabulary_by_lots_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "LOT", 8)
+    rows = ["the cat the cat sat", "the cat", "The cat's", "x", "12 34 ..", "", None, "the cat", "a-b c' d"] + [f"word{i} of many" for i in range(40)]
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    want = Counter()
+    for t in {t for t in rows if t}:
+        w = re.findall(r"[A-Za-z][A-Za-z'\-]*", t)
+        want.update((1, x) for x in w if x == x.lower())
+        want.update((k, " ".join(w[i : i + k])) for k in (2, 3) for i in range(len(w) - k + 1))
+    got = S.vocabulary(df, "text")
+    assert {(r["size"], r["gram"]): r["n"] for r in got.collect()} == want
+    # a task has a lot, and no function of arrays is applied to each word
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    lots = sum(len(t.encode()) for t in rows if t) // 8 + 1
+    assert f"{lots}), REPARTITION_BY_NUM" in plan and "lambdafunction" not in plan
