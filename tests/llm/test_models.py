@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tests.llm.test_text_and_fingerprints import brute_words
 from wadi.llm import suffix_tree as S
@@ -198,3 +199,20 @@ def test_no_context_is_dropped_and_runs_beyond_the_cache_score_alike(docs):
         got = {r["doc_id"]: r["score"] for r in S.score(table, cached=cached).collect()}
         assert max(abs(got[i] - exact[i]) for i in range(len(rows))) < 1e-6
     assert S.score(docs([])).count() == 0
+
+
+def test_known_runs_against_plain_sums():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 9, 600)  # more documents than one sort takes
+    runs = rng.integers(0, 40, sizes.sum()).astype(np.uint64) << np.uint64(48)
+    table = np.arange(0, 40, 3).astype(np.uint64) << np.uint64(48)
+    for keys, logs in ((table, -rng.random(len(table))), (table[:0], np.zeros(0))):
+        sums, far, times, cuts = S._known_runs(runs, sizes, keys, logs)
+        of = dict(zip(keys.tolist(), logs, strict=True))
+        at = 0
+        for d, size in enumerate(sizes):
+            own = runs[at : at + size].tolist()
+            at += size
+            assert sums[d] == pytest.approx(sum(of.get(r, 0.0) for r in own))
+            want = {r: own.count(r) for r in own if r not in of}
+            assert dict(zip(far[cuts[d] : cuts[d + 1]].tolist(), times[cuts[d] : cuts[d + 1]].tolist(), strict=True)) == want

@@ -91,22 +91,32 @@ def grams(sym: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return packed[keep]
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted ones."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, n) of (text, held_out): counts of symbol runs (kind 0) and of words (kind 1), combined over the task as far as memory is bounded."""
 
     def merged(parts: list) -> list:
         out = []
         for kind in (0, 1):
-            codes, kinds = pd.factorize(np.concatenate([k for t, k, _ in parts if t == kind]))
-            n = np.concatenate([c for t, _, c in parts if t == kind])
-            out.append((kind, kinds, np.bincount(codes, weights=n, minlength=len(kinds))))
+            keys = np.concatenate([k for t, k, _ in parts if t == kind])
+            # of sorted parts, which this sort merges
+            order = np.argsort(keys, kind="stable")
+            n, keys = np.concatenate([c for t, _, c in parts if t == kind])[order], keys[order]
+            first = _starts(keys)
+            out.append((kind, keys[first], np.add.reduceat(n, first) if len(first) else n))
         return out
 
     def rows(parts: list) -> Iterator[pa.RecordBatch]:
         for kind, kinds, n in merged(parts):
             for a in range(0, len(kinds), 100_000):
                 k = kinds[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + 100_000].astype(np.int64))], names=["kind", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + 100_000])], names=["kind", "key", "n"])
 
     parts, held, most = [], 0, HELD
     for part in chunks(batches, "text", CHUNK):
@@ -114,10 +124,13 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sym, offs = symbols(words)
         train = ~part.column(1).to_numpy(zero_copy_only=False).astype(bool)
         h = np.concatenate([words.hashes[train[words.doc]], np.full(int(train.sum()), END_WORD, np.uint64)])
-        for kind, values, weights in ((0, grams(sym, offs), np.repeat(train, np.diff(offs) - DEPTH)), (1, h, None)):
-            codes, kinds = pd.factorize(values)
-            parts.append((kind, kinds, np.bincount(codes, weights=weights, minlength=len(kinds))))
-            held += len(kinds)
+        # a run has seven bytes, so whether it counts goes into the eighth; sorted numbers are faster than a hash table
+        runs = np.sort(grams(sym, offs) << np.uint64(8) | np.repeat(train, np.diff(offs) - DEPTH))
+        h.sort()
+        for kind, kinds, counts in ((0, runs >> np.uint64(8), (runs & np.uint64(1)).astype(np.int64)), (1, h, np.ones(len(h), np.int64))):
+            first = _starts(kinds)
+            parts.append((kind, kinds[first], np.add.reduceat(counts, first) if len(first) else counts))
+            held += len(first)
         if held > most:
             parts = merged(parts)
             held = sum(len(k) for _, k, _ in parts)
@@ -267,22 +280,46 @@ class Head:
         return hit, np.where(hit, self.n[i], 0)
 
 
+def _known_runs(runs: np.ndarray, sizes: np.ndarray, run_keys: np.ndarray, run_logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of so many runs each: sums of the log probabilities that are known, other runs, how often each, and their offsets.
+
+    A run has seven bytes, so the number of one of 256 documents goes into the eighth: sorted, the runs
+    pass along the table of known ones in its order, and those of a document that are equal stand together.
+    """
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    sums, keys, often, numbers = np.zeros(len(sizes)), [], [], np.zeros(len(sizes), np.int64)
+    for a in range(0, len(sizes), 256):
+        b = min(a + 256, len(sizes))
+        own = runs[ends[a] : ends[b]] << np.uint64(8) | np.repeat(np.arange(b - a, dtype=np.uint64), sizes[a:b])
+        own.sort()
+        first = _starts(own)
+        n, own = np.diff(np.append(first, len(own))), own[first]
+        key, doc = own >> np.uint64(8), own.astype(np.uint8)
+        starts = _starts(key)
+        if len(run_keys):
+            kinds = key[starts]
+            at = np.minimum(np.searchsorted(run_keys, kinds), len(run_keys) - 1)
+            known = run_keys[at] == kinds
+            each = np.diff(np.append(starts, len(key)))
+            sums[a:b] = np.bincount(doc, weights=n * np.repeat(np.where(known, run_logp[at], 0.0), each), minlength=b - a)
+            far = np.flatnonzero(~np.repeat(known, each))
+        else:
+            far = np.arange(len(key))
+        far = far[np.argsort(doc[far], kind="stable")]
+        keys.append(key[far])
+        often.append(n[far])
+        numbers[a:b] = np.bincount(doc[far], minlength=b - a)
+    cuts = np.concatenate([[0], np.cumsum(numbers)]).astype(np.int32)
+    return sums, np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64), np.concatenate([np.zeros(0, np.int64), *often]), cuts
+
+
 def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     """Rows ``SCORED`` of (row, doc_id, text): what the caches know, the words and the runs (with times) that they do not."""
     run_keys, run_logp, head = held.value
     for part in chunks(batches, "text", CHUNK):
         words = Words(part.column(2))
         sym, offs = symbols(words)
-        codes, kinds = pd.factorize(grams(sym, offs))
-        at = np.minimum(np.searchsorted(run_keys, kinds), max(len(run_keys) - 1, 0))
-        cached = run_keys[at] == kinds if len(run_keys) else np.zeros(len(kinds), bool)
-        logs = (np.where(cached, run_logp[at], 0.0) if len(run_keys) else np.zeros(len(kinds)))[codes]
-        far = np.flatnonzero(~cached[codes])
-        pairs, times = np.unique(np.repeat(np.arange(part.num_rows), np.diff(offs) - DEPTH)[far] * len(kinds) + codes[far], return_counts=True)
-        far_cuts = np.searchsorted(pairs, np.arange(part.num_rows + 1) * len(kinds)).astype(np.int32)
-        far_keys = kinds[pairs % len(kinds)].view(np.int64)
-        bounds = (offs - np.arange(len(offs)) * DEPTH)[:-1]
-        score = np.add.reduceat(logs, bounds)
+        score, far_keys, times, far_cuts = _known_runs(grams(sym, offs), np.diff(offs) - DEPTH, run_keys, run_logp)
         doc = words.doc
         codes, kinds = pd.factorize(words.hashes)
         hit, n = head.find(kinds)
