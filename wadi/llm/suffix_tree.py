@@ -18,7 +18,7 @@ grown on the driver and broadcast. Of the runs with their log probabilities the
 on (document, run) rows, so every run has its exact value.
 
 Counting: each task counts the distinct runs of DEPTH + 1 symbols of its texts
-(a hash table, no objects), the tasks of the tree add them up; runs of held-out
+(sorted numbers, no objects), the tasks of the tree add them up; runs of held-out
 texts count 0. Word counts for the base score go the same way; words of the ``HEAD``
 most frequent are looked up in a broadcast of fixed size, the others by a join on
 (document, word) rows.
