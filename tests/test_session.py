@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,23 @@ def test_vocabulary_by_lots_of_texts(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     lots = sum(len(t.encode()) for t in rows if t) // 8 + 1
     assert f"{lots}), REPARTITION_BY_NUM" in plan and "lambdafunction" not in plan
+
+
+def test_vocabulary_sends_longest_runs_by_their_last_words(spark):
+    """The words that runs begin with are sent once a lot, not with each run; runs of one and of four words are counted too."""
+    texts = [f"in the {a}{b} box is the {b}{a} cup" for a in "abcdefgh" for b in "klmnopqr"] * 2 + ["A", "b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    for longest in (1, 2, 3, 4):
+        want = Counter()
+        for t in set(texts):
+            w = t.split()
+            want.update((1, x) for x in w if x == x.lower())
+            want.update((k, " ".join(w[i : i + k])) for k in range(2, longest + 1) for i in range(len(w) - k + 1))
+        got = S.vocabulary(df, "text", longest)
+        assert {(r["size"], r["gram"]): r["n"] for r in got.collect()} == want
+    # texts and runs are sent once each
+    plan = S.vocabulary(df.localCheckpoint(), "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "key#" in plan.split("Exchange hashpartitioning(")[1]
+    rows = list(S._counted([pa.array([["a", "b", "c"], ["a", "b", "d"], ["a", "b", "d"]])], 3))
+    sent = [tuple(r.values()) for batch in rows for r in batch.to_pylist()]
+    assert sent == [("a", ":3"), ("b", ":3"), ("c", ""), ("d", ":2"), ("a b", ":3 c d:2"), ("b c", ""), ("b d", ":2")]
