@@ -115,6 +115,31 @@ def test_similar_sets_in_cells_and_blocks(spark, monkeypatch):
             assert r["jaccard"] == round(len(a & b) / len(a | b), 6)
 
 
+def test_cells_make_each_pair_once(monkeypatch):
+    """A block that meets itself makes a pair once, codes that words of a set share too; cells are counted as they are dealt."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    lists = [sorted(rng.choices(range(30), k=20)) for _ in range(60)]
+    rows = pa.table({"side": pa.array([0] * 60, pa.int32()), "n": pa.array([20] * 60), "words": pa.array(lists, pa.list_(pa.int32()))})
+    cell = (int(pairs._class(20)) * 64) << 40
+    for lot in (40, 1 << 18):
+        monkeypatch.setattr(pairs, "LOT", lot)
+        got = [p for x, y in pairs._met(cell, rows, 0.3) for p in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and all(x < y for x, y in got)
+        likeness, least, want = 0.3, 1, set()
+        beyond = least - int(pairs._need(20, 20, likeness))
+        for x in range(60):
+            for y in range(x + 1, 60):
+                if any(a == b for a in lists[x][: 20 + beyond] for b in lists[y][: 20 + beyond]):
+                    want.add((x, y))
+        assert set(got) == want
+    blocks = np.array([0, 2, 1, 3])
+    assert pairs._cells(blocks, 0.9) == (3 + 1 + 6) + (2 * 1 + 1 * 3)
+
+
 def test_pairs_that_only_share_a_word_do_not_leave_a_task(spark):
     # any two share a rare word early in their order, and are far from alike
     rows = [(i, [f"r{min(i, j)}_{max(i, j)}" for j in range(40)] + [f"o{i}_{j}" for j in range(60)]) for i in range(40)]
